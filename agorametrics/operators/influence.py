@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from agorametrics import fixed_values as fixed
 from agorametrics.functions import cells
 from agorametrics.operators.activity import month_candidates, month_or_previous
-from agorametrics.plans.hot_keys import copy_to_pieces, cut_rows, hot_keys
+from agorametrics.plans.hot_keys import MIN_HOT_ROWS, copy_to_pieces, cut_rows, hot_keys
 from agorametrics.plans.tables import new_folder, write_once, write_table
 
 RANKING = "user string, score double"
 
 # Power steps per written table. More steps mean fewer writes and a longer lineage.
-STEPS_PER_TABLE = 5
+STEPS_PER_TABLE = 4
+
+# Up to this size a vector is broadcast.
+BROADCAST_BYTES = 10 * 1024 * 1024
 
 
 class NotConverged(Exception):
@@ -102,6 +105,8 @@ def eigenvector_centrality(
     edges: DataFrame,
     max_iter: int = fixed.CENTRALITY_MAX_ITER,
     tol: float = fixed.CENTRALITY_TOLERANCE,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Centrality ``(node, score)`` of the undirected weighted graph ``edges(u, v, weight)``.
 
@@ -109,59 +114,84 @@ def eigenvector_centrality(
     changes the normalised vector by less than ``nodes * tol`` in total, and raises
     :class:`NotConverged` when no step up to ``max_iter`` does.
 
-    The adjacency is partitioned once and kept; each step moves only the vector and
-    the partial sums. Nodes with very many neighbours are cut into pieces.
+    A vector of at most ``broadcast_bytes`` is broadcast. Beyond that the adjacency is
+    partitioned once and kept, and each step moves only the vector and partial sums;
+    nodes with more than ``hot_rows`` neighbours are cut into pieces if need be.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), "weight").unionByName(
-        edges.select(F.col("v").alias("src"), F.col("u").alias("dst"), "weight")
-    )
-    arcs = write_once(both, "arcs")
-    hot = write_once(hot_keys(arcs, "src"), "hot-nodes")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    adjacency = cut_rows(arcs, "src", "dst", hot).repartition(partitions, "src", "piece")
+    arcs = write_once(_arcs(edges), "arcs")
+    nodes = arcs.where("own").select(F.col("src").alias("node"))
+    row = nodes.agg(F.count("*"), F.sum(F.octet_length(F.col("node").cast("string")))).first()
+    size, text_bytes = row[0], row[1] or 0
+    if size == 0:
+        return nodes.withColumn("score", F.lit(0.0))
+    # Per row: the name, the value, and the overhead of a row in a hash table.
+    small = text_bytes + size * 64 <= broadcast_bytes
+    if small:
+        hot, adjacency = None, arcs
+    else:
+        hot = write_once(hot_keys(arcs, "src", min_rows=hot_rows), "hot-nodes")
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if hot.isEmpty():
+            hot, adjacency = None, arcs.repartition(partitions, "src")
+        else:
+            adjacency = cut_rows(arcs, "src", "dst", hot).repartition(partitions, "src", "piece")
     adjacency = adjacency.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def step(vector: DataFrame, number: int) -> DataFrame:
+        """Column s<number> = (A + I) s<number - 1>; the columns before are carried along.
+
+        The vector is used once, so that the plan of several steps stays a chain.
+        """
+        values = vector.withColumnRenamed("node", "src")
+        keys = ["src"]
+        if small:
+            values = F.broadcast(values)
+        elif hot is not None:
+            values, keys = copy_to_pieces(values, "src", hot), ["src", "piece"]
+        kept = [f"s{i}" for i in range(number)]
+        return (
+            adjacency.join(values, keys)
+            .groupBy(F.col("dst").alias("node"))
+            .agg(
+                *[F.sum(F.when(F.col("own"), F.col(c))).alias(c) for c in kept],
+                F.sum(F.col("weight") * F.col(kept[-1])).alias(f"s{number}"),
+            )
+        )
+
     try:
-        vector = write_once(arcs.select(F.col("src").alias("node")).distinct(), "nodes")
-        nodes = vector.count()
-        if nodes == 0:
-            return vector.withColumn("score", F.lit(0.0))
-        vector = vector.withColumn("s0", F.lit(1.0 / nodes))
+        vector = nodes.withColumn("s0", F.lit(1.0 / size))
         # Two folders in turn: the one being read is never the one being written.
         folders = [new_folder(spark, "power-a"), new_folder(spark, "power-b")]
-        done = 0
-        while done < max_iter:
+        for done in range(0, max_iter, STEPS_PER_TABLE):
             steps = min(STEPS_PER_TABLE, max_iter - done)
-            for step in range(1, steps + 1):
-                vector = _power_step(vector, adjacency, hot, step)
+            for number in range(1, steps + 1):
+                vector = step(vector, number)
             table = write_table(vector, folders[done // STEPS_PER_TABLE % 2])
             norms, changes = _progress(table, steps)
-            for step in range(1, steps + 1):
-                if changes[step - 1] < nodes * tol:
-                    score = (F.col(f"s{step}") / norms[step]).alias("score")
-                    return write_once(table.select("node", score), "centrality")
+            for number in range(1, steps + 1):
+                if changes[number - 1] < size * tol:
+                    return table.select("node", (F.col(f"s{number}") / norms[number]).alias("score"))
             vector = table.select("node", (F.col(f"s{steps}") / norms[steps]).alias("s0"))
-            done += steps
         raise NotConverged(f"no convergence within {max_iter} steps")
     finally:
         adjacency.unpersist()
 
 
-def _power_step(vector: DataFrame, adjacency: DataFrame, hot: DataFrame, step: int) -> DataFrame:
-    """Column ``s<step>`` = (A + I) applied to the column before; earlier columns stay."""
-    last = f"s{step - 1}"
-    kept = [f"s{i}" for i in range(step)]
-    values = copy_to_pieces(vector.select(F.col("node").alias("src"), last), "src", hot)
-    received = adjacency.join(values, ["src", "piece"]).select(
-        F.col("dst").alias("node"),
-        (F.col("weight") * F.col(last)).alias(f"s{step}"),
-        *[F.lit(0.0).alias(c) for c in kept],
+def _arcs(edges: DataFrame) -> DataFrame:
+    """A + I as rows ``(src, dst, weight, own)``: both directions and a loop per node."""
+    ends = F.array(
+        F.struct(F.col("u").alias("src"), F.col("v").alias("dst")),
+        F.struct(F.col("v").alias("src"), F.col("u").alias("dst")),
     )
-    own = vector.select("node", F.col(last).alias(f"s{step}"), *kept)
-    columns = [*kept, f"s{step}"]
-    return (
-        received.unionByName(own).groupBy("node").agg(*[F.sum(c).alias(c) for c in columns])
+    both = edges.select(F.inline(ends), "weight", F.lit(False).alias("own"))
+    loops = both.select("src").distinct().select(
+        "src",
+        F.col("src").alias("dst"),
+        F.lit(1.0).alias("weight"),
+        F.lit(True).alias("own"),
     )
+    return both.unionByName(loops)
 
 
 def _progress(table: DataFrame, steps: int) -> tuple[list[float], list[float]]:

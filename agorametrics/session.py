@@ -26,6 +26,7 @@ def local_session(name: str, cpus: int | str = "*", **extra: str) -> SparkSessio
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
     )

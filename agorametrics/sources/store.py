@@ -57,7 +57,7 @@ class Store:
             self._empty(table, "overwrite")
 
     def _empty(self, table: str, mode: str) -> None:
-        empty = self.spark.createDataFrame([], self._stored_schema(table))
+        empty = self.spark.createDataFrame([], self._stored_schema(table)).limit(0)
         empty.write.mode(mode).parquet(f"{self.root}/{table}")
 
     @staticmethod

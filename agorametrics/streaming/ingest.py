@@ -7,6 +7,7 @@ both write the same tables through :func:`write_facts`.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -23,17 +24,22 @@ from agorametrics.sources.store import Store
 def write_facts(messages: DataFrame, store: Store, label: str, self_id: int | None = None) -> None:
     """Counts, reaction edges and quality messages of one batch of raw messages.
 
-    ``messages`` holds one row per id. It is read by three writes; the batch is kept on
-    the executors meanwhile and recomputed where an executor is lost.
+    ``messages`` holds one row per id. It is read by all writes; the batch is kept on
+    the executors meanwhile and recomputed where an executor is lost. The writes do not
+    depend on each other and run at the same time.
     """
     counted = facts.counted_messages(messages, self_id)
     counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        store.put(tables.STATS, facts.author_months(counted), label)
         edges = facts.reaction_months(facts.reaction_events(counted))
-        store.put(tables.EDGES, edges, label)
-        store.put(tables.ALL_TIME, facts.all_time_reactions(edges), label)
-        store.put(tables.MESSAGES, facts.quality_messages(counted), label)
+        batch = {
+            tables.STATS: facts.author_months(counted),
+            tables.EDGES: edges,
+            tables.ALL_TIME: facts.all_time_reactions(edges),
+            tables.MESSAGES: facts.quality_messages(counted),
+        }
+        with ThreadPoolExecutor(len(batch)) as pool:
+            list(pool.map(lambda table: store.put(table, batch[table], label), batch))
     finally:
         counted.unpersist()
 

@@ -25,7 +25,7 @@ from agorametrics.operators import (
     volume,
 )
 from agorametrics.operators import members as people
-from agorametrics.plans.tables import new_folder
+from agorametrics.plans.tables import new_folder, write_once
 from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
 from agorametrics.streaming import ingest
@@ -234,7 +234,8 @@ def repopulated_reactions(spark, sf):
 
 def ingested(spark: SparkSession, sf: str) -> Store:
     store = Store(spark, new_folder(spark, "store")).create()
-    raw, channels = given.raw_messages(spark, sf), given.channels(spark, sf)
+    raw = write_once(given.raw_messages(spark, sf), "raw")
+    channels = given.channels(spark, sf)
     for day in (dt.datetime(2024, 1, 17, tzinfo=UTC), dt.datetime(2024, 2, 2, tzinfo=UTC)):
         ingest.ingest_increment(raw, channels, store, day, given.SELF_ID)
     return store
