@@ -47,4 +47,7 @@ def read_quotes(spark: SparkSession, path: str) -> DataFrame:
     bad = parsed.where(F.col("problem").isNotNull()).select("path", "problem").head(1)
     if bad:
         raise ValueError(f"{bad[0].path} {bad[0].problem}")
+    # Scans skip files without any bytes, so those show up as missing paths.
+    if parsed.select("path").distinct().count() < len(files.inputFiles()):
+        raise ValueError(f"{path} holds an empty file")
     return parsed.select("quote")

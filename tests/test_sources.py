@@ -1,0 +1,127 @@
+"""Quote files and the store."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from agorametrics.operators.sampling import random_quote, random_row
+from agorametrics.sources import store as tables
+from agorametrics.sources.quotes import read_quotes
+from agorametrics.sources.store import Store
+
+UTC = dt.timezone.utc
+
+
+def quote_file(tmp_path, content):
+    path = tmp_path / "quotes.yaml"
+    path.write_text(content, encoding="utf8")
+    return str(path)
+
+
+def test_missing_file(spark, tmp_path):
+    with pytest.raises(ValueError):
+        read_quotes(spark, str(tmp_path / "none.yaml"))
+
+
+@pytest.mark.parametrize("content", ["", "just a text", "[]", "a: [unclosed", "{a: 1}"])
+def test_unusable_files(spark, tmp_path, content):
+    with pytest.raises(ValueError):
+        read_quotes(spark, quote_file(tmp_path, content))
+
+
+def test_single_quote(spark, tmp_path):
+    quotes = read_quotes(spark, quote_file(tmp_path, '["Quote 0"]'))
+    assert random_quote(quotes).collect()[0].quote == "Quote 0"
+
+
+def test_several_quotes(spark, tmp_path):
+    quotes = read_quotes(spark, quote_file(tmp_path, '- "Quote 0"\n- "Quote ü"\n- 3\n'))
+    assert {r.quote for r in quotes.collect()} == {"Quote 0", "Quote ü", "3"}
+    picks = {random_quote(quotes, seed).first().quote for seed in range(12)}
+    assert picks <= {"Quote 0", "Quote ü", "3"} and len(picks) > 1
+
+
+def test_random_row_of_nothing(spark):
+    assert random_row(spark.range(0)).collect() == []
+
+
+STATS = "author_id long, year int, month int, total_messages long, total_reactions long"
+
+
+def test_batches_add_up_and_replace(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    assert store.user_stats_monthly().collect() == []
+    store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5), (2, 2023, 12, 1, 0)], STATS), "a")
+    store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 9, 9)], STATS), "b")
+    store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 3, 1)], STATS), "b")
+    store.create()
+    rows = {tuple(r) for r in store.user_stats_monthly().collect()}
+    assert rows == {(1, 2024, 1, 5, 6), (2, 2023, 12, 1, 0)}
+
+
+def test_month_filter_prunes_folders(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), "a")
+    plan = store.user_stats_monthly().where("year = 2024 AND month = 1")
+    text = plan._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in text and "(month#" in text.split("PartitionFilters")[1]
+
+
+def test_reset_empties_two_tables(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), "a")
+    edges = spark.createDataFrame([(1, 2, 2024, 1, 4)], "giver_id long, receiver_id long, year int, month int, reaction_count long")
+    store.put(tables.EDGES, edges, "a")
+    store.put(tables.ALL_TIME, edges, "a")
+    store.reset()
+    assert store.user_stats_monthly().count() == 0
+    assert store.user_reactions().count() == 0
+    assert store.user_reactions_monthly().count() == 1
+
+
+def test_messages_last_batch_wins(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    row = (5, "old text", dt.datetime(2024, 1, 2), 4, 1, None, None, None)
+    kind = tables._SCHEMAS[tables.MESSAGES]
+    store.put(tables.MESSAGES, spark.createDataFrame([row], kind), "a")
+    store.put(tables.MESSAGES, spark.createDataFrame([(5, "new text", *row[2:])], kind), "b")
+    assert [(r.id, r.content) for r in store.messages().collect()] == [(5, "new text")]
+
+
+def test_mapping_last_write_wins(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    kind = tables._SCHEMAS[tables.MAPPING]
+    day = dt.datetime(2024, 1, 1)
+    store.put(tables.MAPPING, spark.createDataFrame([(1, "a", day), (2, "b", day)], kind), "1")
+    store.put(tables.MAPPING, spark.createDataFrame([(1, "c", day + dt.timedelta(1))], kind), "2")
+    assert {(r.author_id, r.username) for r in store.user_mapping().collect()} == {(1, "c"), (2, "b")}
+
+
+def test_compacted_copy_is_equal(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    for label in ("a", "b"):
+        store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), label)
+    copy = store.compacted(str(tmp_path / "copy"), "all")
+    assert [tuple(r) for r in copy.user_stats_monthly().collect()] == [(1, 2024, 1, 4, 10)]
+    assert copy.batches(tables.STATS).select("batch").distinct().collect()[0].batch == "all"
+
+
+def test_label_is_checked(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    with pytest.raises(ValueError):
+        store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), "../x")
+
+
+def test_offsets_before_a_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    kind = "channel_id long, last_scanned timestamp"
+    first, second = dt.datetime(2024, 1, 1, tzinfo=UTC), dt.datetime(2024, 2, 1, tzinfo=UTC)
+    store.put(tables.OFFSETS, spark.createDataFrame([(1, first)], kind), "2024a")
+    store.put(tables.OFFSETS, spark.createDataFrame([(1, second)], kind), "2024b")
+    epoch = F.col("last_scanned").cast("long")
+    assert store.scan_offsets().select(epoch).first()[0] == second.timestamp()
+    assert store.scan_offsets(before="2024b").select(epoch).first()[0] == first.timestamp()
+    assert [tuple(r) for r in store.metadata().collect()] == [
+        ("last_scanned_timestamp_1", "2024-02-01T00:00:00.000000+00:00")
+    ]
