@@ -19,6 +19,8 @@ from agorametrics.functions.months import (
 )
 from agorametrics.functions.numbers import ratio, ratio_or_zero
 from agorametrics.functions.text import name_or_id
+from agorametrics.plans.joins import few_rows_with
+from agorametrics.plans.tables import write_once
 
 
 def totals_in_range(
@@ -107,21 +109,28 @@ def leaderboard(
     server_avg = month_rows.agg(
         ratio_or_zero(F.sum("total_reactions"), F.sum("total_messages"))
     ).scalar()
-    active = month_rows.where(F.col("total_messages") >= min_messages)
     average = F.col("avg_reacts").asc() if least else F.col("avg_reacts").desc()
-    board = (
-        month_totals(active, mapping)
-        .select(
-            "author_id",
-            name_or_id(F.col("username"), F.col("author_id")).alias("display_name"),
-            "avg_reacts",
-            "total_msgs",
-            "total_reacts",
-            server_avg.alias("server_avg"),
-        )
-        .orderBy(average, "author_id")
+    board = month_rows.where(F.col("total_messages") >= min_messages).select(
+        "author_id",
+        F.col("total_messages").alias("total_msgs"),
+        F.col("total_reactions").alias("total_reacts"),
+        ratio(F.col("total_reactions"), F.col("total_messages")).alias("avg_reacts"),
+        server_avg.alias("server_avg"),
     )
-    return board if all_users else board.limit(size)
+    names = mapping.select("author_id", "username")
+    if all_users:
+        named = board.join(names, "author_id", "left")
+    else:
+        top = write_once(board.orderBy(average, "author_id").limit(size), "leaderboard")
+        named = few_rows_with(top, names, "author_id")
+    return named.select(
+        "author_id",
+        name_or_id(F.col("username"), F.col("author_id")).alias("display_name"),
+        "avg_reacts",
+        "total_msgs",
+        "total_reacts",
+        "server_avg",
+    ).orderBy(average, "author_id")
 
 
 def leaderboard_lines(board: DataFrame) -> DataFrame:

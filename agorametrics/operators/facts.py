@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from agorametrics import fixed_values as fixed
 from agorametrics.functions.months import month_keys
 from agorametrics.functions.text import is_blank, is_valid_message
+from agorametrics.plans.joins import join_dimension
 from agorametrics.schemas import REACTIONS
 
 
@@ -39,9 +40,9 @@ def unscanned(
     # The earliest offset bounds the scan, so old files are skipped.
     earliest = starts.agg(F.min("last_scanned")).scalar()
     created = F.col("created_at")
+    candidates = raw.where((created < F.lit(cutoff)) & (created > earliest))
     return (
-        raw.where((created < F.lit(cutoff)) & (created > earliest))
-        .join(starts, "channel_id")
+        join_dimension(candidates, starts, "channel_id", "id")
         .where(F.col("created_at") > F.col("last_scanned"))
         .drop("last_scanned")
     )

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agorametrics import fixed_values as fixed
+from agorametrics.plans.hot_keys import MIN_HOT_ROWS
+from agorametrics.plans.joins import join_cut
 from agorametrics.plans.positions import with_position
+from agorametrics.plans.tables import write_once
 
 # A dense row has one column per member; beyond this use the long form.
 MAX_DENSE_MEMBERS = 1000
@@ -41,18 +44,19 @@ def reaction_matrix(reactions: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def reaction_percentages(cells: DataFrame) -> DataFrame:
+def reaction_percentages(cells: DataFrame, hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Each cell as a percentage of what its giver gave.
 
-    The row sums are aggregated and joined back, which works for a giver of any size; a
-    window would hold all of a giver's cells in one task.
+    The row sums are aggregated and joined back, with givers of very many cells cut into
+    pieces; a window would hold all cells of a giver in one task.
     """
-    rows = cells.groupBy("giver_id").agg(F.sum("reaction_count").alias("given"))
+    table = write_once(cells.select("giver_id", "receiver_id", "reaction_count"), "cells")
+    rows = table.groupBy("giver_id").agg(F.sum("reaction_count").alias("given"))
     share = F.coalesce(
         F.try_divide(F.col("reaction_count").cast("double"), F.col("given").cast("double")),
         F.lit(0.0),
     )
-    return cells.join(rows, "giver_id").select(
+    return join_cut(table, rows, "giver_id", "receiver_id", hot_rows).select(
         "giver_id", "receiver_id", (share * 100).alias("percentage")
     )
 

@@ -12,6 +12,8 @@ from agorametrics import fixed_values as fixed
 from agorametrics.functions import cells
 from agorametrics.functions.months import from_month
 from agorametrics.functions.text import member_name
+from agorametrics.plans.joins import few_rows_with
+from agorametrics.plans.tables import write_once
 
 
 def trade_window(edges: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -126,9 +128,9 @@ def user_trade_partners(
             .select(F.lit(direction).alias("direction"), "partner_id", F.col(column).alias("total"))
         )
 
-    both = top("export", "given").unionByName(top("import", "received"))
-    named = both.join(members, both.partner_id == members.id, "left")
-    return named.select(
+    both = write_once(top("export", "given").unionByName(top("import", "received")), "partners")
+    names = members.select(F.col("id").alias("partner_id"), "display_name")
+    return few_rows_with(both, names, "partner_id").select(
         "direction",
         "partner_id",
         member_name(F.col("display_name"), F.col("partner_id")).alias("name"),

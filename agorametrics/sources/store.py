@@ -9,6 +9,7 @@ month filters prune folders.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ class Store:
 
     def create(self) -> Store:
         """Create the tables that are not there yet."""
-        for table in _SCHEMAS:
-            self._empty(table, "ignore")
+        with ThreadPoolExecutor(len(_SCHEMAS)) as pool:
+            list(pool.map(lambda table: self._empty(table, "ignore"), _SCHEMAS))
         return self
 
     def reset(self) -> None:

@@ -98,9 +98,13 @@ def start_stream(
     name: str,
     self_id: int | None = None,
     every: str | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of raw messages; without ``every``, what is available now.
 
+    ``state_partitions`` is how many parts the held messages are kept in, by default the
+    session's shuffle partitions. It cannot change during the life of a checkpoint.
+
     Micro-batches are labelled by stream name and batch id. A replayed micro-batch has
     the same rows and the same id, so it replaces its own output: each message counts
     exactly once. A stream that starts over with a new checkpoint needs a new name.
@@ -117,4 +121,11 @@ def start_stream(
         .foreachBatch(write)
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    # A query takes over the session's settings when it starts.
+    conf = stream.sparkSession.conf
+    session_partitions = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(state_partitions or session_partitions))
+    try:
+        return writer.trigger(**trigger).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", session_partitions)

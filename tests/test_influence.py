@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agorametrics.operators import influence
-from agorametrics.plans import hot_keys, positions, tables
+from agorametrics.plans import hot_keys, joins, positions, tables
 
 EDGES = "giver_id long, receiver_id long, year int, month int, reaction_count long"
 STATS = "author_id long, year int, month int, total_messages long, total_reactions long"
@@ -147,6 +147,20 @@ def test_hot_keys_are_cut(spark):
     assert joined.where(F.col("name") != F.concat(F.lit("n"), "k")).count() == 0
 
 
+def test_joins_with_a_hot_key(spark):
+    rows = spark.range(1000).select(
+        F.when(F.col("id") < 400, 1).otherwise(F.col("id")).cast("long").alias("k"), "id"
+    )
+    names = rows.select("k").distinct().withColumn("name", F.concat(F.lit("n"), "k"))
+    plain = sorted(tuple(r) for r in rows.join(names, "k").select("k", "id", "name").collect())
+    for options in ({}, {"max_rows": 5}, {"max_rows": 5, "hot_rows": 50}):
+        got = joins.join_dimension(rows, names, "k", "id", **options).select("k", "id", "name")
+        assert sorted(tuple(r) for r in got.collect()) == plain
+    few = rows.where("id < 3 or id = 500").union(spark.createDataFrame([(-1, -1)], "k long, id long"))
+    got = joins.few_rows_with(few, names, "k").collect()
+    assert sorted((r.k, r.name) for r in got) == [(-1, None), (1, "n1"), (1, "n1"), (1, "n1"), (500, "n500")]
+
+
 def test_positions(spark):
     ids = spark.range(1000).select((F.col("id") * 7919 % 10007).alias("author_id"))
     got = positions.with_position(ids, "author_id").orderBy("author_id").collect()

@@ -222,6 +222,8 @@ def test_matrix(spark, edges):
     assert set(rows(cells)) == {(1, 2, 0, 1, 3), (2, 1, 1, 0, 1), (1, 1, 0, 0, 1)}
     shares = {(r.giver_id, r.receiver_id): r.percentage for r in matrix.reaction_percentages(cells).collect()}
     assert shares == {(1, 2): 75.0, (1, 1): 25.0, (2, 1): 100.0}
+    cut = matrix.reaction_percentages(cells, hot_rows=1)
+    assert {(r.giver_id, r.receiver_id): r.percentage for r in cut.collect()} == shares
     dense = matrix.dense_rows(cells, members, [1, 2, 4], "reaction_count")
     # Member 4 gave nothing to a member: a row of zeros.
     assert sorted(rows(dense)) == [(1, 1, 3, 0), (2, 1, 0, 0), (4, 0, 0, 0)]

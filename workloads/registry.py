@@ -146,12 +146,12 @@ def message_filter_flags(spark, sf):
     )
 )
 def reaction_explode(spark, sf):
-    return facts.reaction_months(facts.reaction_events(given.raw_messages(spark, sf)))
+    return facts.reaction_months(facts.reaction_events(given.unresolved_messages(spark, sf)))
 
 
 @query(with_ctes("raw", "SELECT id, reaction_count FROM raw"))
 def reaction_totals(spark, sf):
-    return given.raw_messages(spark, sf).select(
+    return given.unresolved_messages(spark, sf).select(
         "id", facts.reaction_total(F.col("reactions")).alias("reaction_count")
     )
 
@@ -181,7 +181,7 @@ def reply_info(spark, sf):
 )
 def newest_copies(spark, sf):
     """Every message is fetched twice; the second time edited and with one more reaction."""
-    raw = given.raw_messages(spark, sf)
+    raw = given.unresolved_messages(spark, sf)
     extra = F.struct(
         F.lit("late").alias("emoji"),
         F.lit(1).cast("bigint").alias("count"),
@@ -210,7 +210,7 @@ def newest_copies(spark, sf):
     )
 )
 def repopulated_stats(spark, sf):
-    return facts.repopulated(given.raw_messages(spark, sf))[0]
+    return facts.repopulated(given.unresolved_messages(spark, sf))[0]
 
 
 @query(
@@ -226,7 +226,7 @@ def repopulated_stats(spark, sf):
     )
 )
 def repopulated_reactions(spark, sf):
-    return facts.repopulated(given.raw_messages(spark, sf))[1]
+    return facts.repopulated(given.unresolved_messages(spark, sf))[1]
 
 
 # --- stored tables, filled by two scheduled increments -----------------------------
@@ -315,7 +315,7 @@ def metadata(spark, sf):
     )
 )
 def ingest_totals(spark, sf):
-    raw = given.raw_messages(spark, sf)
+    raw = given.unresolved_messages(spark, sf)
     channels = facts.readable_channels(given.channels(spark, sf))
     scanned = raw.join(channels, "channel_id").where(
         F.col("created_at") < F.lit(dt.datetime(2024, 2, 1, tzinfo=UTC))
@@ -356,6 +356,7 @@ def streamed(spark: SparkSession, sf: str) -> Store:
         new_folder(spark, "stream-checkpoint"),
         name="events",
         self_id=given.SELF_ID,
+        state_partitions=spark.sparkContext.defaultParallelism,
     )
     stream.awaitTermination()
     return store

@@ -121,6 +121,12 @@ def _channel() -> Column:
     )
 
 
+def unresolved_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages for reports that do not look at replies."""
+    raw = raw_from_events(table(spark, sf_dir, "events")).drop("reply_to_id")
+    return raw.withColumn("reference", F.lit(None).cast(REFERENCE))
+
+
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_from_events(table(spark, sf_dir, "events"))
     return resolve_references(raw, raw)
