@@ -17,6 +17,7 @@ from agorametrics.operators import activity, clusters, inflation, influence, mat
 from agorametrics.operators import members as people
 from agorametrics.operators import trade, volume
 from agorametrics.options import parse_rpm_options
+from agorametrics.plans.tables import write_once
 from agorametrics.sources import store as tables
 from agorametrics.sources.quotes import read_quotes
 from agorametrics.sources.store import Store
@@ -87,7 +88,7 @@ class Community:
 
     def hdi(self) -> DataFrame:
         return volume.quality_ratio_per_month(
-            self.store.messages(), self.store.batches(tables.STATS)
+            self.store.messages(["ts"]), self.store.batches(tables.STATS)
         )
 
     def most_liked(self, as_of: dt.datetime, month_offset: int = 0) -> DataFrame:
@@ -115,7 +116,9 @@ class Community:
         return people.member_labels(ids, self.members)
 
     def random_message(self, seed: int | None = None) -> DataFrame:
-        return sampling.random_message(self.store.messages(), seed).select("content")
+        """The content of a random quality message; only the pick's text is read."""
+        pick = write_once(sampling.random_message(self.store.messages(["ts"]), seed), "pick")
+        return self.store.messages(["content"], ids=pick).select("content")
 
     def random_quote(self, path: str, seed: int | None = None) -> DataFrame:
         return sampling.random_quote(read_quotes(self.store.spark, path), seed)

@@ -87,14 +87,23 @@ def counted_messages(raw: DataFrame, self_id: int | None = None, skip_bots: bool
 
 def author_months(messages: DataFrame) -> DataFrame:
     """Messages and reactions per author and calendar month."""
-    return (
+    return author_months_from_counts(
         messages.select(
             F.col("author.id").alias("author_id"),
-            *month_keys(F.col("created_at")),
-            reaction_total(F.col("reactions")).alias("n"),
+            reaction_total(F.col("reactions")).alias("reaction_count"),
+            F.col("created_at").alias("ts"),
         )
+    )
+
+
+def author_months_from_counts(counts: DataFrame) -> DataFrame:
+    """The same from one row per message: ``(author_id, reaction_count, ts)``."""
+    return (
+        counts.select("author_id", *month_keys(F.col("ts")), "reaction_count")
         .groupBy("author_id", "year", "month")
-        .agg(F.count("*").alias("total_messages"), F.sum("n").alias("total_reactions"))
+        .agg(
+            F.count("*").alias("total_messages"), F.sum("reaction_count").alias("total_reactions")
+        )
     )
 
 

@@ -52,5 +52,5 @@ def few_rows_with(few: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     The dimension is filtered by the broadcast keys where it is read, instead of being
     shuffled for a handful of rows.
     """
-    found = dimension.join(F.broadcast(few.select(key).distinct()), key, "left_semi")
+    found = dimension.join(F.broadcast(few.select(key)), key, "left_semi")
     return few.join(F.broadcast(found), key, "left")

@@ -9,6 +9,7 @@ month filters prune folders.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ _SCHEMAS = {
 }
 _MONTHLY = {STATS, EDGES, MESSAGES}
 _MONTH_FIELDS = [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
+MESSAGE_COLUMNS = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
 _LABEL = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
@@ -114,11 +116,19 @@ class Store:
     def user_mapping(self) -> DataFrame:
         return latest_usernames(self.batches(MAPPING))
 
-    def messages(self) -> DataFrame:
-        """One row per id; of an id in several batches the last batch counts."""
-        columns = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
+    def messages(
+        self, columns: Sequence[str] = MESSAGE_COLUMNS, ids: DataFrame | None = None
+    ) -> DataFrame:
+        """One row per id; of an id in several batches the last batch counts.
+
+        Ask for the ``columns`` needed only: the others are then not read. ``ids(id)``, a
+        few rows, picks messages where they are read.
+        """
+        rows = self.batches(MESSAGES)
+        if ids is not None:
+            rows = rows.join(F.broadcast(ids.select("id")), "id", "left_semi")
         last = F.max_by(F.struct(*columns), "batch").alias("m")
-        return self.batches(MESSAGES).groupBy("id").agg(last).select("id", "m.*")
+        return rows.groupBy("id").agg(last).select("id", "m.*")
 
     def scan_offsets(self, before: str | None = None) -> DataFrame:
         """Last scanned time per channel, on request as of before a batch."""

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametrics.functions.months import month_keys
-from agorametrics.operators.facts import resolve_references
+from agorametrics.operators.facts import (
+    all_time_reactions,
+    author_months_from_counts,
+    reaction_months,
+    resolve_references,
+)
 from agorametrics.operators.members import cleaned_usernames
 from agorametrics.schemas import REACTIONS, REFERENCE
 
@@ -28,35 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author months; an event is a message with floor(value) reactions."""
-    return (
-        table(spark, sf_dir, "events")
-        .select(
-            F.col("user_id").alias("author_id"),
-            *month_keys(F.col("ts")),
-            F.floor("value").alias("n"),
+    return author_months_from_counts(
+        table(spark, sf_dir, "events").select(
+            F.col("user_id").alias("author_id"), F.floor("value").alias("reaction_count"), "ts"
         )
-        .groupBy("author_id", "year", "month")
-        .agg(F.count("*").alias("total_messages"), F.sum("n").alias("total_reactions"))
     )
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reaction months; the user reacts to the user named in the properties."""
-    return (
-        table(spark, sf_dir, "events")
-        .select(F.col("user_id").alias("giver_id"), _k().alias("receiver_id"), *month_keys(F.col("ts")))
-        .groupBy("giver_id", "receiver_id", "year", "month")
-        .agg(F.count("*").alias("reaction_count"))
+    return reaction_months(
+        table(spark, sf_dir, "events").select(
+            F.col("user_id").alias("giver_id"), _k().alias("receiver_id"), F.col("ts").alias("created_at")
+        )
     )
 
 
 def event_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-time reactions, the rollup of the reaction months."""
-    return (
-        event_edges(spark, sf_dir)
-        .groupBy("giver_id", "receiver_id")
-        .agg(F.sum("reaction_count").alias("reaction_count"))
-    )
+    return all_time_reactions(event_edges(spark, sf_dir))
 
 
 def _k() -> Column:
@@ -202,14 +196,7 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        order_messages(spark, sf_dir)
-        .select("author_id", *month_keys(F.col("ts")), "reaction_count")
-        .groupBy("author_id", "year", "month")
-        .agg(
-            F.count("*").alias("total_messages"), F.sum("reaction_count").alias("total_reactions")
-        )
-    )
+    return author_months_from_counts(order_messages(spark, sf_dir))
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,21 +205,13 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("giver_id")
     )
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.col("o_custkey").alias("receiver_id"), *month_keys(F.col("o_orderdate"))
-    )
-    return (
-        items.join(orders, "o_orderkey")
-        .groupBy("giver_id", "receiver_id", "year", "month")
-        .agg(F.count("*").alias("reaction_count"))
+        "o_orderkey", F.col("o_custkey").alias("receiver_id"), F.col("o_orderdate").alias("created_at")
     )
+    return reaction_months(items.join(orders, "o_orderkey"))
 
 
 def order_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        order_edges(spark, sf_dir)
-        .groupBy("giver_id", "receiver_id")
-        .agg(F.sum("reaction_count").alias("reaction_count"))
-    )
+    return all_time_reactions(order_edges(spark, sf_dir))
 
 
 def nation_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
