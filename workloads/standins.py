@@ -127,11 +127,9 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream of raw messages, replies unresolved."""
+    """The events table, one file or a folder, as a stream; replies are unresolved."""
     schema = table(spark, sf_dir, "events").schema
-    events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return raw_from_events(events).drop("reply_to_id").withColumn(
         "reference", F.lit(None).cast(REFERENCE)
     )
