@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agorametrics import fixed_values as fixed
@@ -45,9 +46,10 @@ def quality_ratio_per_month(
 def chart_points(series: DataFrame, value: str) -> DataFrame:
     """Points of a line chart, oldest first, with the height of each value label.
 
-    ``series`` has one row per month, at most the report's months.
+    ``series`` has one row per month, at most the report's months, so one task may hold
+    it; a second pass for the maximum would compute the series again.
     """
-    top = series.agg(F.max(value)).scalar()
+    top = F.max(value).over(W.partitionBy(F.lit(0)))
     return series.select(
         year_month().alias("month_year"),
         F.col(value),

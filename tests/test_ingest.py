@@ -19,7 +19,17 @@ def at(day, hour=12, minute=0):
     return dt.datetime(2024, 1, day, hour, minute, tzinfo=UTC)
 
 
-def message(id, author=1, content="a message that is long enough", created=at(5), bot=False, reactions=(), channel=1, reference=None, fetched=None):
+def message(
+    id,
+    author=1,
+    content="a message that is long enough",
+    created=at(5),
+    bot=False,
+    reactions=(),
+    channel=1,
+    reference=None,
+    fetched=None,
+):
     return (
         id,
         channel,
