@@ -294,6 +294,18 @@ def channel_offsets(spark, sf):
     return offsets.withColumn("last_scanned", F.col("last_scanned").cast("timestamp_ntz"))
 
 
+@query(
+    with_ctes(
+        "raw readable",
+        """SELECT max(created_at) AS last_scanned FROM raw JOIN readable USING (channel_id)
+        WHERE created_at < TIMESTAMP '2024-02-01 00:00:00' AND channel_id = 1""",
+    )
+)
+def channel_offset_lookup(spark, sf):
+    offset = facts.offset_for(ingested(spark, sf).scan_offsets(), 1)
+    return offset.select(F.col("last_scanned").cast("timestamp_ntz").alias("last_scanned"))
+
+
 @query(
     with_ctes(
         "raw readable",
