@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DAY_MICROS = 86_400_000_000
+
 
 def shift_month(year: int, month: int, offset: int) -> tuple[int, int]:
     """The month ``offset`` months away, for report parameters."""
@@ -21,8 +23,23 @@ def shifted(year: Column | str, month: Column | str, offset: Column | int) -> Co
     return F.add_months(month_start(year, month), offset).cast("date")
 
 
+def utc_date(ts: Column) -> Column:
+    """The UTC day of a timestamp, whatever the session's time zone."""
+    days = F.floor(F.unix_micros(ts.cast("timestamp")) / _DAY_MICROS)
+    return F.date_from_unix_date(days.cast("int"))
+
+
+def utc_wall(ts: Column) -> Column:
+    """The UTC clock reading of a timestamp, as a timestamp without a time zone."""
+    clock = F.pmod(F.unix_micros(ts), F.lit(_DAY_MICROS))
+    time = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), clock.cast("decimal(18,0)") / 1_000_000)
+    return utc_date(ts).cast("timestamp_ntz") + time
+
+
 def month_keys(ts: Column) -> list[Column]:
-    return [F.year(ts).cast("int").alias("year"), F.month(ts).cast("int").alias("month")]
+    """UTC months of a timestamp."""
+    day = utc_date(ts)
+    return [F.year(day).cast("int").alias("year"), F.month(day).cast("int").alias("month")]
 
 
 def month_number(year: Column | str = "year", month: Column | str = "month") -> Column:

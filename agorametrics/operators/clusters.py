@@ -45,7 +45,7 @@ def kmeans_labels(
     if len(points.limit(k).collect()) < k:
         raise ValueError(f"clustering into {k} groups needs at least {k} rows")
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(points)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
+    model = KMeans(k=k, seed=seed, maxIter=fixed.CLUSTER_ROUNDS, featuresCol="features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors).drop("features")
 
 

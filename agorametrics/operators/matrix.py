@@ -6,8 +6,6 @@ matrix, and it grows with the reactions rather than with the square of the membe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +15,6 @@ from agorametrics.plans.joins import join_cut
 from agorametrics.plans.positions import with_position
 from agorametrics.plans.tables import write_once
 
-# A dense row has one column per member; beyond this use the long form.
-MAX_DENSE_MEMBERS = 1000
-
-
 def numbered_members(members: DataFrame) -> DataFrame:
     """``members(author_id)`` with matrix positions in id order."""
     return with_position(members.select("author_id"), "author_id")
@@ -61,17 +55,35 @@ def reaction_percentages(cells: DataFrame, hot_rows: int = MIN_HOT_ROWS) -> Data
     )
 
 
-def dense_rows(cells: DataFrame, members: DataFrame, ids: Sequence[int], value: str) -> DataFrame:
-    """One row per member in ``ids`` with a column per member, zeros included."""
-    if len(ids) > MAX_DENSE_MEMBERS:
-        raise ValueError(f"{len(ids)} members; above {MAX_DENSE_MEMBERS} use the long form")
-    kind = cells.schema[value].dataType
-    wide = cells.groupBy("giver_id").pivot("receiver_id", list(ids)).agg(F.sum(value))
-    filled = [F.coalesce(F.col(str(i)), F.lit(0).cast(kind)).alias(f"to_{i}") for i in ids]
+def dense_rows(cells: DataFrame, members: DataFrame, value: str) -> DataFrame:
+    """(giver_id, row): an array per member with a value per member in order of position.
+
+    ``members(author_id, position)`` gives the order. A row is as long as there are members;
+    the long form has the non-zero cells only.
+    """
+    size = members.agg(F.count("*")).scalar()
+    zero = F.lit(0).cast(cells.schema[value].dataType)
+    receivers = members.select(F.col("author_id").alias("receiver_id"), "position")
+    filled = cells.join(receivers, "receiver_id").groupBy("giver_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", F.col(value).alias("value")))).alias("cells")
+    )
+    # Zeros between the sorted cells, and behind the last one.
+    last = F.struct(F.col("size").alias("position"), zero.alias("value"))
+    stops = F.concat(F.coalesce("cells", F.array().cast(filled.schema["cells"].dataType)), F.array(last))
+    gaps = F.transform(
+        stops,
+        lambda c, i: F.concat(
+            F.array_repeat(
+                zero, (c["position"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(stops, i - 1)["position"]) - 1).cast("int")
+            ),
+            F.array(c["value"]),
+        ),
+    )
     return (
         members.select(F.col("author_id").alias("giver_id"))
-        .join(wide, "giver_id", "left")
-        .select("giver_id", *filled)
+        .join(filled, "giver_id", "left")
+        .withColumn("size", size)
+        .select("giver_id", F.slice(F.flatten(gaps), F.lit(1), F.col("size").cast("int")).alias("row"))
     )
 
 

@@ -1,9 +1,12 @@
 """The stored tables: parquet folders that grow by labelled batches.
 
 Every ingest run or micro-batch writes its own partial counts to
-``<table>/batch=<label>/year=.../month=...``; readers add the batches up. Nothing is
-updated in place, so a repeated run replaces its own batch and never counts twice, and
-month filters prune folders.
+``<table>/batch=<label>/year=.../month=...``; readers add the batches up. A batch counts
+from the moment its commit record is written, which is one small file for all its tables
+and comes last. What a failed run left behind is never read, month filters prune folders,
+and batches are told apart in time by the commit's sequence number, not by their labels.
+
+A store has one writer at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import types as T
 
 from agorametrics import fixed_values as fixed
 from agorametrics import schemas
+from agorametrics.functions.months import month_keys, utc_wall
 from agorametrics.operators.members import latest_usernames
 
 STATS = "user_stats_monthly"
@@ -26,6 +30,7 @@ ALL_TIME = "user_reactions"
 MAPPING = "user_mapping"
 MESSAGES = "messages"
 OFFSETS = "scan_offsets"
+COMMITS = "commits"
 
 _SCHEMAS = {
     STATS: schemas.USER_STATS_MONTHLY,
@@ -38,6 +43,13 @@ _SCHEMAS = {
 _MONTHLY = {STATS, EDGES, MESSAGES}
 _MONTH_FIELDS = [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
 MESSAGE_COLUMNS = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
+_COMMIT = T.StructType(
+    [
+        T.StructField("table", T.StringType()),
+        T.StructField("batch", T.StringType()),
+        T.StructField("sequence", T.LongType()),
+    ]
+)
 _LABEL = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
@@ -52,6 +64,8 @@ class Store:
         """Create the tables that are not there yet."""
         with ThreadPoolExecutor(len(_SCHEMAS)) as pool:
             list(pool.map(lambda table: self._empty(table, "ignore"), _SCHEMAS))
+        none = self.spark.createDataFrame([], _COMMIT)
+        none.write.mode("ignore").parquet(f"{self.root}/{COMMITS}")
         return self
 
     def reset(self) -> None:
@@ -71,18 +85,43 @@ class Store:
             fields += [f for f in _MONTH_FIELDS if f.name not in names]
         return T.StructType([*fields, T.StructField("batch", T.StringType())])
 
+    def commits(self) -> DataFrame:
+        """(table, batch, sequence) of what has been written completely."""
+        return self.spark.read.schema(_COMMIT).parquet(f"{self.root}/{COMMITS}")
+
+    def committed(self, table: str) -> dict[str, int]:
+        """Sequence number by label; one entry per batch, which compaction keeps few."""
+        rows = self.commits().where(F.col("table") == table).groupBy("batch")
+        return {r["batch"]: r["last"] for r in rows.agg(F.max("sequence").alias("last")).collect()}
+
     def batches(self, table: str) -> DataFrame:
-        """All rows as written, with their batch label."""
-        return self.spark.read.schema(self._stored_schema(table)).parquet(f"{self.root}/{table}")
+        """All committed rows as written, with their batch label."""
+        rows = self.spark.read.schema(self._stored_schema(table)).parquet(f"{self.root}/{table}")
+        return rows.where(F.col("batch").isin(*sorted(self.committed(table))))
 
     def put(self, table: str, rows: DataFrame, label: str) -> None:
-        """Write ``rows`` as batch ``label``, replacing an earlier try of that batch."""
+        """Write and commit ``rows`` as batch ``label``, replacing what it had."""
+        self._write(table, rows, label)
+        self._commit([table], label)
+
+    def put_together(self, parts: dict[str, DataFrame], label: str) -> None:
+        """Write one batch of several tables at the same time; all of it counts, or nothing."""
+        with ThreadPoolExecutor(len(parts)) as pool:
+            list(pool.map(lambda table: self._write(table, parts[table], label), parts))
+        self._commit(list(parts), label)
+
+    def _commit(self, names: list[str], label: str) -> None:
+        last = self.commits().agg(F.max("sequence")).first()[0] or 0
+        rows = self.spark.createDataFrame([(name, label, last + 1) for name in names], _COMMIT)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{COMMITS}")
+
+    def _write(self, table: str, rows: DataFrame, label: str) -> None:
         if not _LABEL.fullmatch(label):
             raise ValueError(f"unusable batch label {label!r}")
         columns = [f.name for f in _SCHEMAS[table].fields]
         rows = rows.select(*columns)
         if table == MESSAGES:
-            rows = rows.withColumn("year", F.year("ts")).withColumn("month", F.month("ts"))
+            rows = rows.select("*", *month_keys(F.col("ts")))
         keys = ["year", "month"] if table in _MONTHLY else []
         # Few files per month, and several tasks for a month with many rows.
         rows = rows.hint("rebalance", *keys)
@@ -119,7 +158,7 @@ class Store:
     def messages(
         self, columns: Sequence[str] = MESSAGE_COLUMNS, ids: DataFrame | None = None
     ) -> DataFrame:
-        """One row per id; of an id in several batches the last batch counts.
+        """One row per id; of an id in several batches the batch committed last counts.
 
         Ask for the ``columns`` needed only: the others are then not read. ``ids(id)``, a
         few rows, picks messages where they are read.
@@ -127,33 +166,35 @@ class Store:
         rows = self.batches(MESSAGES)
         if ids is not None:
             rows = rows.join(F.broadcast(ids.select("id")), "id", "left_semi")
-        last = F.max_by(F.struct(*columns), "batch").alias("m")
-        return rows.groupBy("id").agg(last).select("id", "m.*")
+        order = self.spark.createDataFrame(
+            sorted(self.committed(MESSAGES).items()), "batch string, sequence long"
+        )
+        last = F.max_by(F.struct(*columns), "sequence").alias("m")
+        return rows.join(order, "batch").groupBy("id").agg(last).select("id", "m.*")
 
-    def scan_offsets(self, before: str | None = None) -> DataFrame:
-        """Last scanned time per channel, on request as of before a batch."""
-        rows = self.batches(OFFSETS)
-        if before is not None:
-            rows = rows.where(F.col("batch") < before)
-        return rows.groupBy("channel_id").agg(F.max("last_scanned").alias("last_scanned"))
+    def scan_offsets(self) -> DataFrame:
+        """Last scanned time per channel over all committed batches."""
+        return self.batches(OFFSETS).groupBy("channel_id").agg(F.max("last_scanned").alias("last_scanned"))
 
     def metadata(self) -> DataFrame:
         """The offsets as a key/value table."""
         return self.scan_offsets().select(
             F.concat(F.lit(fixed.OFFSET_KEY_PREFIX), F.col("channel_id").cast("string")).alias("key"),
-            F.date_format("last_scanned", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("value"),
+            F.date_format(utc_wall(F.col("last_scanned")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias(
+                "value"
+            ),
         )
 
     def compacted(self, root: str, label: str) -> Store:
-        """A copy with all batches added up into one, at another root."""
+        """A copy with all batches added up into one, at another root, to go on with."""
         copy = Store(self.spark, root).create()
-        for table, rows in {
+        parts = {
             STATS: self.user_stats_monthly(),
             EDGES: self.user_reactions_monthly(),
             ALL_TIME: self.user_reactions(),
             MAPPING: self.user_mapping(),
             MESSAGES: self.messages(),
             OFFSETS: self.scan_offsets(),
-        }.items():
-            copy.put(table, rows, label)
+        }
+        copy.put_together(parts, label)
         return copy

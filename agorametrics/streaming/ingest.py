@@ -7,7 +7,6 @@ both write the same tables through :func:`write_facts`.
 from __future__ import annotations
 
 import datetime as dt
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -17,12 +16,25 @@ from pyspark.sql.streaming import StreamingQuery
 from agorametrics import fixed_values as fixed
 from agorametrics.operators import facts
 from agorametrics.operators.members import cleaned_usernames
+from agorametrics.plans.joins import join_dimension
 from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
 
 
-def write_facts(messages: DataFrame, store: Store, label: str, self_id: int | None = None) -> None:
-    """Counts, reaction edges and quality messages of one batch of raw messages.
+def _utc(time: dt.datetime) -> dt.datetime:
+    if time.tzinfo is None:
+        raise ValueError("the time needs a time zone")
+    return time.astimezone(dt.timezone.utc)
+
+
+def write_facts(
+    messages: DataFrame,
+    store: Store,
+    label: str,
+    self_id: int | None = None,
+    offsets: DataFrame | None = None,
+) -> None:
+    """Counts, reaction edges, quality messages and offsets of one batch, committed together.
 
     ``messages`` holds one row per id. It is read by all writes; the batch is kept on
     the executors meanwhile and recomputed where an executor is lost. The writes do not
@@ -38,8 +50,9 @@ def write_facts(messages: DataFrame, store: Store, label: str, self_id: int | No
             tables.ALL_TIME: facts.all_time_reactions(edges),
             tables.MESSAGES: facts.quality_messages(counted),
         }
-        with ThreadPoolExecutor(len(batch)) as pool:
-            list(pool.map(lambda table: store.put(table, batch[table], label), batch))
+        if offsets is not None:
+            batch[tables.OFFSETS] = offsets
+        store.put_together(batch, label)
     finally:
         counted.unpersist()
 
@@ -53,21 +66,24 @@ def ingest_increment(
 ) -> str:
     """Ingest what became a day old since the last run; returns the batch label.
 
-    The label is the cutoff time. A run that failed half-way is repeated with the same
-    ``as_of``: it starts from the same offsets and replaces its own partial output. The
-    offsets are written last.
+    The label is the cutoff time. A run that failed half-way has no commit record, so nothing
+    it wrote is read, and the next run, with the same or a later ``as_of``, starts from the
+    offsets committed before it. A run whose label is committed already does nothing, and one
+    for an earlier time than the last finds nothing beyond the offsets.
     """
-    cutoff = as_of - dt.timedelta(days=1)
+    cutoff = _utc(as_of) - dt.timedelta(days=1)
     label = cutoff.strftime("%Y%m%dT%H%M%S.%f")
-    scanned = facts.unscanned(raw, channels, store.scan_offsets(before=label), cutoff)
-    write_facts(facts.newest_copies(scanned), store, label, self_id)
-    store.put(tables.OFFSETS, facts.next_offsets(scanned, channels, cutoff), label)
+    if label in store.committed(tables.OFFSETS):
+        return label
+    scanned = facts.unscanned(raw, channels, store.scan_offsets(), cutoff)
+    offsets = facts.next_offsets(scanned, channels, cutoff)
+    write_facts(facts.newest_copies(scanned), store, label, self_id, offsets)
     return label
 
 
 def refresh_usernames(members: DataFrame, store: Store, as_of: dt.datetime) -> str:
     """Write the current usernames of all members."""
-    label = as_of.strftime("%Y%m%dT%H%M%S.%f")
+    label = _utc(as_of).strftime("%Y%m%dT%H%M%S.%f")
     store.put(tables.MAPPING, cleaned_usernames(members, as_of), label)
     return label
 
@@ -99,19 +115,30 @@ def start_stream(
     self_id: int | None = None,
     every: str | None = None,
     state_partitions: int | None = None,
+    channels: DataFrame | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of raw messages; without ``every``, what is available now.
 
     ``state_partitions`` is how many parts the held messages are kept in, by default the
     session's shuffle partitions. It cannot change during the life of a checkpoint.
 
+    With ``channels``, messages of channels that can't be read are left out.
+
     Micro-batches are labelled by stream name and batch id. A replayed micro-batch has
-    the same rows and the same id, so it replaces its own output: each message counts
-    exactly once. A stream that starts over with a new checkpoint needs a new name.
+    the same rows and the same id: if it is committed it is passed over, else it replaces
+    what it left, so each message counts exactly once. The last message of each channel is
+    written as its offset, so scheduled runs go on from there. A stream that starts over with
+    a new checkpoint needs a new name.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_facts(batch, store, f"{name}-{batch_id:012d}", self_id)
+        label = f"{name}-{batch_id:012d}"
+        if label in store.committed(tables.OFFSETS):
+            return
+        if channels is not None:
+            batch = join_dimension(batch, facts.readable_channels(channels), "channel_id", "id")
+        offsets = batch.groupBy("channel_id").agg(F.max("created_at").alias("last_scanned"))
+        write_facts(batch, store, label, self_id, offsets)
 
     writer = (
         settled_messages(stream)

@@ -200,33 +200,67 @@ def test_increments_equal_one_run_and_repeat_safely(spark, tmp_path, channels):
     assert contents(once) == contents(steps)
 
 
-def test_a_failed_run_is_repeated(spark, tmp_path, channels, monkeypatch):
+@pytest.mark.parametrize("next_run", [30, 31])
+def test_a_failed_run_counts_nothing(spark, tmp_path, channels, monkeypatch, next_run):
+    """The run dies when its counts are written; it is repeated, or the next day's run follows."""
     data = history(spark)
     store = Store(spark, str(tmp_path / "store")).create()
-    put = Store.put
+    ingest.ingest_increment(data, channels, store, at(8))
+    before = contents(store)
+    commit = Store._commit
 
-    def failing(self, table, rows, label):
-        if table == tables.OFFSETS:
-            raise OSError("lost")
-        put(self, table, rows, label)
+    def failing(self, names, label):
+        raise OSError("lost")
 
-    monkeypatch.setattr(Store, "put", failing)
+    monkeypatch.setattr(Store, "_commit", failing)
     with pytest.raises(OSError):
         ingest.ingest_increment(data, channels, store, at(30))
-    monkeypatch.setattr(Store, "put", put)
-    ingest.ingest_increment(data, channels, store, at(30))
+    monkeypatch.setattr(Store, "_commit", commit)
+    assert contents(store) == before
+    ingest.ingest_increment(data, channels, store, at(next_run))
     once = Store(spark, str(tmp_path / "once")).create()
     ingest.ingest_increment(data, channels, once, at(30))
     assert contents(store) == contents(once)
 
 
+def test_order_and_compaction_do_not_matter(spark, tmp_path, channels):
+    data = history(spark)
+    once = Store(spark, str(tmp_path / "once")).create()
+    ingest.ingest_increment(data, channels, once, at(30))
+    mixed = Store(spark, str(tmp_path / "mixed")).create()
+    for day in (8, 30, 15):
+        ingest.ingest_increment(data, channels, mixed, at(day))
+    assert contents(mixed) == contents(once)
+    first = Store(spark, str(tmp_path / "first")).create()
+    ingest.ingest_increment(data, channels, first, at(15))
+    compact = first.compacted(str(tmp_path / "compact"), "compact-1")
+    ingest.ingest_increment(data, channels, compact, at(30))
+    assert contents(compact) == contents(once)
+
+
+def test_months_are_utc_in_any_session(spark, tmp_path, channels):
+    data = raw(spark, message(1, created=dt.datetime(2024, 2, 1, 1, tzinfo=UTC), reactions=FOUR))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        store = Store(spark, str(tmp_path / "store")).create()
+        ingest.ingest_increment(data, channels, store, dt.datetime(2024, 2, 9, tzinfo=UTC))
+        assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 2, 1, 4)]
+        assert {(r.year, r.month) for r in store.batches(tables.MESSAGES).collect()} == {(2024, 2)}
+        assert store.metadata().first().value == "2024-02-01T01:00:00.000000+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    with pytest.raises(ValueError):
+        ingest.ingest_increment(data, channels, store, dt.datetime(2024, 2, 9))
+
+
 def land(spark, folder, *messages):
     raw(spark, *messages).coalesce(1).write.mode("append").parquet(str(folder))
 
 
-def run_stream(spark, tmp_path, store):
+def run_stream(spark, tmp_path, store, **options):
     stream = spark.readStream.schema(RAW_MESSAGES).parquet(str(tmp_path / "landing"))
-    query = ingest.start_stream(stream, store, str(tmp_path / "checkpoint"), name="chat")
+    query = ingest.start_stream(stream, store, str(tmp_path / "checkpoint"), name="chat", **options)
     query.awaitTermination()
 
 
@@ -258,6 +292,22 @@ def test_stream_holds_counts_once_and_restarts(spark, tmp_path):
     }
 
 
+def test_stream_leaves_out_channels_and_writes_offsets(spark, tmp_path, channels):
+    store = Store(spark, str(tmp_path / "store")).create()
+    landing = tmp_path / "landing"
+    land(spark, landing, message(1, created=at(5, 10)), message(2, channel=3, created=at(5, 10)), message(3, created=at(9)))
+    run_stream(spark, tmp_path, store, channels=channels)
+    land(spark, landing, message(4, created=at(12)))
+    run_stream(spark, tmp_path, store, channels=channels)
+    assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 1, 2, 0)]
+    offsets = store.scan_offsets().select("channel_id", F.col("last_scanned").cast("long")).collect()
+    assert [tuple(r) for r in offsets] == [(1, int(at(9).timestamp()))]
+    # A scheduled run goes on behind the stream.
+    data = raw(spark, message(1, created=at(5, 10)), message(4, created=at(12)))
+    ingest.ingest_increment(data, channels, store, at(20))
+    assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 1, 3, 0)]
+
+
 def test_replayed_micro_batch_counts_once(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store")).create()
     data = raw(spark, message(1, reactions=FOUR), message(2, author=2))

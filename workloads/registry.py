@@ -260,6 +260,41 @@ def ingest_stats(spark, sf):
     return ingested(spark, sf).user_stats_monthly()
 
 
+def _raw_and_days(spark: SparkSession, sf: str):
+    raw = write_once(given.raw_messages(spark, sf), "raw")
+    return raw, given.channels(spark, sf), Store(spark, new_folder(spark, "store")).create()
+
+
+@query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
+def ingest_after_crash(spark, sf):
+    """A run writes its counts and dies before the commit; the next day's run goes on."""
+    raw, channels, store = _raw_and_days(spark, sf)
+    first = dt.datetime(2024, 1, 17, tzinfo=UTC)
+    scanned = facts.unscanned(raw, channels, store.scan_offsets(), first - dt.timedelta(days=1))
+    counted = facts.counted_messages(facts.newest_copies(scanned), given.SELF_ID)
+    store._write(tables.STATS, facts.author_months(counted), "20240116T000000.000000")
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID)
+    return store.user_stats_monthly()
+
+
+@query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
+def ingest_out_of_order(spark, sf):
+    raw, channels, store = _raw_and_days(spark, sf)
+    for month, day in ((1, 8), (2, 2), (1, 17)):
+        as_of = dt.datetime(2024, month, day, tzinfo=UTC)
+        ingest.ingest_increment(raw, channels, store, as_of, given.SELF_ID)
+    return store.user_stats_monthly()
+
+
+@query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
+def ingest_after_compaction(spark, sf):
+    raw, channels, store = _raw_and_days(spark, sf)
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 1, 17, tzinfo=UTC), given.SELF_ID)
+    store = store.compacted(new_folder(spark, "store"), "compact-1")
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID)
+    return store.user_stats_monthly()
+
+
 @query(with_ctes("scanned", _SCANNED_EDGES.format("scanned")))
 def ingest_reactions(spark, sf):
     return ingested(spark, sf).user_reactions_monthly()
@@ -844,29 +879,24 @@ def reaction_percentage(spark, sf):
     return rounded(matrix.reaction_percentages(_cells(spark, sf)), "percentage")
 
 
-def _nation_ids(spark: SparkSession, sf: str) -> list[int]:
-    """Nation keys; one more than a dense matrix may have would be refused there."""
-    rows = given.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey")
-    return [row.n_nationkey for row in rows.limit(matrix.MAX_DENSE_MEMBERS + 1).collect()]
-
-
 @query(
     with_ctes(
         "nation_reactions",
-        "SELECT CAST(n_nationkey AS BIGINT) AS giver_id, "
-        + ", ".join(
-            f"CAST(coalesce(sum(CASE WHEN receiver_id = {i} THEN reaction_count END), 0) AS BIGINT) AS to_{i}"
-            for i in range(25)
-        )
-        + " FROM nation LEFT JOIN nation_reactions ON giver_id = n_nationkey GROUP BY 1",
+        """SELECT CAST(g.n_nationkey AS BIGINT) AS giver_id,
+        string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY r.n_nationkey) AS counts
+        FROM nation g CROSS JOIN nation r LEFT JOIN (
+            SELECT giver_id, receiver_id, CAST(sum(reaction_count) AS BIGINT) AS n
+            FROM nation_reactions GROUP BY 1, 2) ON giver_id = g.n_nationkey AND receiver_id = r.n_nationkey
+        GROUP BY 1""",
     )
 )
 def reaction_matrix_dense(spark, sf):
-    ids = _nation_ids(spark, sf)
     members = given.table(spark, sf, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("author_id")
     )
-    return matrix.dense_rows(given.nation_reactions(spark, sf), members, ids, "reaction_count")
+    members = write_once(matrix.numbered_members(members), "nation-members")
+    rows = matrix.dense_rows(given.nation_reactions(spark, sf), members, "reaction_count")
+    return rows.select("giver_id", F.array_join("row", ",").alias("counts"))
 
 
 @query(
@@ -992,13 +1022,18 @@ def most_liked_lines(spark, sf):
 # --- random picks ------------------------------------------------------------------
 
 
-@query()
+@query(
+    with_ctes(
+        "order_quality",
+        "SELECT id, content FROM order_quality ORDER BY md5('7:' || id), id LIMIT 1",
+    )
+)
 def random_message(spark, sf):
     messages = facts.quality_messages(facts.counted_messages(given.raw_orders(spark, sf)))
     return sampling.random_message(messages, seed=7).select("id", "content")
 
 
-@query()
+@query("SELECT text AS quote FROM benchmark ORDER BY md5('7:' || text), text LIMIT 1")
 def random_quote(spark, sf):
     quotes = given.table(spark, sf, "benchmark").select(F.col("text").alias("quote"))
     return sampling.random_quote(quotes, seed=7)
