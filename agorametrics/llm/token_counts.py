@@ -12,6 +12,7 @@ Defined cases: null counts as empty, with no tokens; any text length is counted
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from collections import Counter
@@ -31,10 +32,13 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W0-9_²³¹¼½¾]+|[0-9²³¹¼½¾]|[
 # than white space, and Latin-1 from the no-break space on. All are in composed form.
 PLAIN = r"[\t\n\r\x20-\x7e\xa0-\xff]*"
 SPECIAL = "<|"
-SAMPLE_TEXTS = 2000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_TEXTS = 1000
+SAMPLE_BYTES = 1 << 14
 TABLE_SIZE = 50_000
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 200_000
+# Texts that are cut and looked up together, and pieces that are encoded together.
+GROUP = 100
+PIECES = 2000
 LIMIT = 2048
 
 
@@ -42,6 +46,8 @@ class Counts:
     """Counts tokens of texts in one worker."""
 
     def __init__(self, path: str, table: dict[str, int]):
+        # One thread: Spark's tasks use the cores, and each thread would keep memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,8 +75,8 @@ class Counts:
             if pieces:
                 new.update(pieces)
         new = [p for p in new if p not in self.table and p not in self.cache]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        for at in range(0, len(new), PIECES):
+            part = new[at : at + PIECES]
             got = self.tokenizer.encode_batch(part, add_special_tokens=False)
             self.cache.update((p, len(e.ids)) for p, e in zip(part, got, strict=True))
 
@@ -88,19 +94,18 @@ class Counts:
 
 
 def frequent_lengths(docs: DataFrame, path: str, texts: int = SAMPLE_TEXTS, size: int = TABLE_SIZE) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of at most ``texts`` texts of a bounded size."""
+    """Lengths of the most frequent pre-tokens of at most ``texts`` texts of a bounded size.
 
-    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, seen = Counts(path, {}), Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update(counts.pre_tokens(text) or ())
-        top = [p for p, _ in seen.most_common(size)]
-        counts.learn([top])
-        yield pd.DataFrame({"piece": top, "tokens": [counts.cache[p] for p in top]})
-
-    some = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(texts).coalesce(1)
-    return dict(map(tuple, some.mapInPandas(table, "piece string, tokens int").collect()))
+    They are read from the first partitions that have them and counted on the driver: at most
+    ``texts * SAMPLE_BYTES`` bytes.
+    """
+    some = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").take(texts)
+    counts, seen = Counts(path, {}), Counter()
+    for row in some:
+        seen.update(counts.pre_tokens(row["text"]) or ())
+    top = [p for p, _ in seen.most_common(size)]
+    counts.learn([top])
+    return {p: counts.cache[p] for p in top}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -113,7 +118,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         for texts in batches:
             # In small groups, so that the lists of pieces stay small.
             values = texts.tolist()
-            parts = (counts.count(values[at : at + 500]) for at in range(0, len(values), 500))
+            parts = (counts.count(values[at : at + GROUP]) for at in range(0, len(values), GROUP))
             yield pd.Series([n for part in parts for n in part], dtype="int64")
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
