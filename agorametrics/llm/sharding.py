@@ -61,9 +61,10 @@ def _cells(sizes: DataFrame, above: int, depth: int, limit: int) -> DataFrame:
         .where(F.col("bytes") <= limit)
     )
     buckets = write_once(buckets, "shard-buckets")
+    # Both sides grow with the shards, and their files are far smaller than their rows in memory.
     fits = (
         steps.select("cell", "depth", prefix)
-        .join(buckets, ["depth", "prefix"])
+        .join(buckets.hint("merge"), ["depth", "prefix"])
         .groupBy("cell")
         .agg(F.min(F.struct("depth", "bytes", "rows")).alias("bucket"))
     )
