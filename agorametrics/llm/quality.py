@@ -2,7 +2,7 @@
 
 A rule rejects a text whose measure lies above a cutoff. Labelled good texts of a stratum (a
 language) are dealt into two halves by their id. The first half proposes sets of cutoffs, from
-mild to strict. On the second half each set's false rejections get an exact (Clopper-Pearson)
+mild to strict, without the rules that catch next to nothing there. On the second half each set's false rejections get an exact (Clopper-Pearson)
 upper bound, at a confidence shared by all sets and strata (Bonferroni). Of the sets whose bound
 is within the limit, the one that separates the first half best is taken, the mildest of equals.
 A stratum where no set can be certified has no rules.
@@ -43,6 +43,8 @@ MOST_FALSE = 0.01
 CONFIDENCE = 0.95
 # A false rejection costs as much as so many bad texts that stay.
 FALSE_COST = 20
+# A rule that catches fewer bad texts of the first half than this is left out of a set.
+LEAST_CAUGHT = 5
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_exclaims long"
 
@@ -134,6 +136,24 @@ def _fails(measure: Column, cutoffs: Column) -> Column:
     return out
 
 
+def _useful(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` without the rules that catch too little in the first half to be worth a risk."""
+    of = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    over = lambda r: F.col("measure")[r] > F.col("cutoffs")[r]
+    seen = known.where("first").join(sets, "stratum").groupBy("stratum", "strict").agg(
+        F.first("cutoffs").alias("cutoffs"),
+        *(of(~F.col("good") & over(r)).alias(f"caught_{r}") for r in RULES),
+        *(of(F.col("good") & over(r)).alias(f"false_{r}") for r in RULES),
+    )
+
+    def kept(rule: str) -> Column:
+        caught, false = F.col(f"caught_{rule}"), F.col(f"false_{rule}")
+        worth = (caught >= LEAST_CAUGHT) & (caught >= FALSE_COST * false)
+        return F.when(worth, F.col("cutoffs")[rule]).otherwise(F.lit(float("inf"))).alias(rule)
+
+    return seen.select("stratum", "strict", F.struct(*map(kept, RULES)).alias("cutoffs"))
+
+
 def certified_cutoffs(judged: DataFrame, labels: DataFrame, most_false: float = MOST_FALSE, confidence: float = CONFIDENCE) -> DataFrame:
     """(stratum, cutoffs, bound) of the strata with a certified set.
 
@@ -162,6 +182,7 @@ def certified_cutoffs(judged: DataFrame, labels: DataFrame, most_false: float =
         )
         proposals.append(F.struct(F.lit(k).alias("strict"), F.struct(*(cut(r).alias(r) for r in RULES)).alias("cutoffs")))
     sets = write_once(grouped.select("stratum", F.inline(F.array(*proposals))), "quality-sets")
+    sets = write_once(_useful(known, sets), "quality-sets")
     # A stratum has a few sets, so this stays small; Spark picks the join by its written size.
     tried = known.join(sets, "stratum").withColumn("hit", _fails(F.col("measure"), F.col("cutoffs")))
     of = lambda c: F.sum(c.cast("long"))
