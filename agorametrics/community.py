@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agorametrics import fixed_values as fixed
-from agorametrics.functions.months import shift_month
+from agorametrics.functions.months import from_month, shift_month
 from agorametrics.operators import activity, clusters, inflation, influence, matrix, sampling
 from agorametrics.operators import members as people
 from agorametrics.operators import trade, volume
@@ -77,19 +77,24 @@ class Community:
 
     def trade(self, user_id: int, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
         """Top partners of both directions, and totals with the trade status."""
-        edges = self.store.batches(tables.EDGES)
+        edges = trade.edges_with(self.store.batches(tables.EDGES), user_id, as_of)
+        mine = write_once(edges, "trade")
         return (
-            trade.user_trade_partners(edges, self.members, user_id, as_of),
-            trade.user_trade_summary(edges, user_id, as_of),
+            trade.user_trade_partners(mine, self.members, user_id, as_of),
+            trade.user_trade_summary(mine, user_id, as_of),
         )
 
     def gdp(self) -> DataFrame:
-        return volume.messages_per_month(self.store.batches(tables.STATS))
+        stats = self.store.batches(tables.STATS)
+        since = volume.first_of_newest([stats])
+        return volume.messages_per_month(stats.where(from_month(*since)) if since else stats)
 
     def hdi(self) -> DataFrame:
-        return volume.quality_ratio_per_month(
-            self.store.messages(["ts"]), self.store.batches(tables.STATS)
-        )
+        stats = self.store.batches(tables.STATS)
+        since = volume.first_of_newest([self.store.batches(tables.MESSAGES), stats])
+        if since:
+            stats = stats.where(from_month(*since))
+        return volume.quality_ratio_per_month(self.store.messages(["ts"], since=since), stats)
 
     def most_liked(self, as_of: dt.datetime, month_offset: int = 0) -> DataFrame:
         return influence.most_liked(

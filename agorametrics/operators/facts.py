@@ -11,6 +11,7 @@ from agorametrics import fixed_values as fixed
 from agorametrics.functions.months import month_keys
 from agorametrics.functions.text import is_blank, is_valid_message
 from agorametrics.plans.joins import join_dimension
+from agorametrics.plans.tables import write_once
 from agorametrics.schemas import REACTIONS
 
 
@@ -67,12 +68,18 @@ def offset_for(offsets: DataFrame, channel_id: int) -> DataFrame:
 def newest_copies(raw: DataFrame) -> DataFrame:
     """One row per message id, the copy fetched last.
 
-    Aggregating (rather than ranking in a window) drops repeated copies before the
-    shuffle, so an id with very many copies does not load one task.
+    Only ids are shuffled to find those with several copies; messages without copies, nearly
+    all, then pass as they are. The copies are aggregated rather than ranked in a window, which
+    drops them before the shuffle, so an id with very many copies does not load one task.
     """
+    several = raw.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
+    several = write_once(several, "repeated-ids")
+    if several.isEmpty():
+        return raw
     columns = [c for c in raw.columns if c != "id"]
     newest = F.max_by(F.struct(*columns), "fetched_at").alias("copy")
-    return raw.groupBy("id").agg(newest).select("id", "copy.*")
+    copies = raw.join(several, "id", "left_semi").groupBy("id").agg(newest).select("id", "copy.*")
+    return raw.join(several, "id", "left_anti").unionByName(copies)
 
 
 def counted_messages(raw: DataFrame, self_id: int | None = None, skip_bots: bool = False) -> DataFrame:
@@ -184,11 +191,23 @@ def resolve_references(messages: DataFrame, originals: DataFrame, reply_to: str
     )
 
 
+def is_quality(content: Column, total: Column) -> Column:
+    return (total >= fixed.QUALITY_MIN_REACTIONS) & is_valid_message(content)
+
+
+def originals_of(replies: DataFrame, originals: DataFrame) -> DataFrame:
+    """The newest copy of each message that ``replies``, a written table, reply to."""
+    wanted = replies.where("reply_to_id is not null").select(F.col("reply_to_id").alias("id")).distinct()
+    newest = F.max_by(F.struct("author", "content"), "fetched_at").alias("copy")
+    found = originals.select("id", "author", "content", "fetched_at").join(wanted, "id", "left_semi")
+    return found.groupBy("id").agg(newest).select("id", "copy.*")
+
+
 def quality_messages(messages: DataFrame) -> DataFrame:
     """Well-received messages with valid content, and what they reply to."""
     total = reaction_total(F.col("reactions"))
     return (
-        messages.where((total >= fixed.QUALITY_MIN_REACTIONS) & is_valid_message(F.col("content")))
+        messages.where(is_quality(F.col("content"), total))
         .select(
             "id",
             "content",
@@ -200,12 +219,42 @@ def quality_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def message_facts(messages: DataFrame, reply: str = "reference") -> DataFrame:
+    """What the stored tables need of each message, and no more.
+
+    ``(author_id, created_at, reaction_count, givers, quality)``: the people behind its reactions,
+    and for a quality message its own columns with ``reply``, as it is in ``messages``.
+    """
+    total = reaction_total(F.col("reactions"))
+    none = F.array().cast("array<bigint>")
+    people = lambda users: F.filter(users, lambda u: ~F.coalesce(u["bot"], F.lit(False)))
+    givers = F.flatten(
+        F.transform(
+            "reactions",
+            lambda r: F.coalesce(F.transform(people(r["users"]), lambda u: u["id"]), none),
+        )
+    )
+    quality = F.struct(
+        "id",
+        "content",
+        F.col("created_at").alias("ts"),
+        total.alias("reaction_count"),
+        F.col("author.id").alias("author_id"),
+        F.col(reply),
+    )
+    return messages.select(
+        F.col("author.id").alias("author_id"),
+        "created_at",
+        total.alias("reaction_count"),
+        F.coalesce(givers, none).alias("givers"),
+        F.when(is_quality(F.col("content"), total), quality).alias("quality"),
+    )
+
+
 def ingest_totals(messages: DataFrame) -> DataFrame:
     """Quality messages and their reactions over all channels, one row."""
     total = reaction_total(F.col("reactions"))
-    kept = messages.where(
-        (total >= fixed.QUALITY_MIN_REACTIONS) & is_valid_message(F.col("content"))
-    )
+    kept = messages.where(is_quality(F.col("content"), total))
     return kept.agg(
         F.count("*").alias("total_messages"),
         F.coalesce(F.sum(total), F.lit(0).cast("bigint")).alias("total_reactions"),
@@ -213,7 +262,10 @@ def ingest_totals(messages: DataFrame) -> DataFrame:
 
 
 def repopulated(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Author months and reaction months recomputed since the fixed date, without bots."""
+    """Author months and reaction months recomputed since the fixed date, without bots.
+
+    ``raw`` has one row per message.
+    """
     messages = counted_messages(
         raw.where(F.col("created_at") > F.lit(fixed.REPOPULATE_START)), skip_bots=True
     )

@@ -95,7 +95,9 @@ def most_liked_edges(
 
     When no edge of the current or a future month is left, the month before counts.
     """
-    candidates = named_edges(month_candidates(edges, year, month, as_of), mapping, stats)
+    candidates = named_edges(
+        month_candidates(edges, year, month, as_of), mapping, month_candidates(stats, year, month, as_of)
+    )
     # Read for the month, the quantile and the edges: write the joined edges once.
     joined = write_once(candidates, "named-edges")
     return undirected_edges(strong_edges(month_or_previous(joined, year, month, as_of)))

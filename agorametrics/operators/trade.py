@@ -82,11 +82,16 @@ def trade_totals(edges: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def user_edges(edges: DataFrame, user_id: int, as_of: dt.datetime) -> DataFrame:
-    """One user's partners with reactions given and received, from one scan."""
-    mine = trade_window(edges, as_of).where(
+def edges_with(edges: DataFrame, user_id: int, as_of: dt.datetime) -> DataFrame:
+    """The edges of the window that one user is part of."""
+    return trade_window(edges, as_of).where(
         (F.col("giver_id") == user_id) | (F.col("receiver_id") == user_id)
     )
+
+
+def user_edges(edges: DataFrame, user_id: int, as_of: dt.datetime) -> DataFrame:
+    """One user's partners with reactions given and received, from one scan."""
+    mine = edges_with(edges, user_id, as_of)
     given = F.when(
         F.col("giver_id") == user_id,
         F.struct(
@@ -144,8 +149,7 @@ def user_trade_summary(edges: DataFrame, user_id: int, as_of: dt.datetime) -> Da
     received = F.when(F.col("receiver_id") == user_id, F.col("reaction_count"))
     zero = F.lit(0).cast("bigint")
     totals = (
-        trade_window(edges, as_of)
-        .where((F.col("giver_id") == user_id) | (F.col("receiver_id") == user_id))
+        edges_with(edges, user_id, as_of)
         .agg(
             F.coalesce(F.sum(given), zero).alias("total_given"),
             F.coalesce(F.sum(received), zero).alias("total_received"),

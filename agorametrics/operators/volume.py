@@ -11,6 +11,19 @@ from agorametrics.functions.months import month_keys, year_month
 from agorametrics.functions.numbers import ratio
 
 
+def first_of_newest(facts: list[DataFrame], months: int = fixed.VOLUME_MONTHS) -> tuple[int, int] | None:
+    """The first of the newest months that all ``facts`` have; None if there is none.
+
+    Reads month columns only. The driver gets as many rows as the report has months.
+    """
+    common = None
+    for each in facts:
+        own = each.select("year", "month").distinct()
+        common = own if common is None else common.join(own, ["year", "month"])
+    newest = common.orderBy(F.desc("year"), F.desc("month")).limit(months).collect()
+    return tuple(newest[-1]) if newest else None
+
+
 def messages_per_month(stats: DataFrame, months: int = fixed.VOLUME_MONTHS) -> DataFrame:
     """Total messages of the newest months."""
     return (

@@ -6,6 +6,10 @@ from the moment its commit record is written, which is one small file for all it
 and comes last. What a failed run left behind is never read, month filters prune folders,
 and batches are told apart in time by the commit's sequence number, not by their labels.
 
+A commit can also restart tables: what they held before then no longer counts. Compaction,
+repopulation, the username snapshot and the reset are such commits, so they happen at once or
+not at all. Only the folders of batches that count are listed.
+
 A store has one writer at a time.
 """
 
@@ -21,7 +25,7 @@ from pyspark.sql import types as T
 
 from agorametrics import fixed_values as fixed
 from agorametrics import schemas
-from agorametrics.functions.months import month_keys, utc_wall
+from agorametrics.functions.months import from_month, month_keys, utc_wall
 from agorametrics.operators.members import latest_usernames
 
 STATS = "user_stats_monthly"
@@ -41,6 +45,8 @@ _SCHEMAS = {
     OFFSETS: schemas.SCAN_OFFSETS,
 }
 _MONTHLY = {STATS, EDGES, MESSAGES}
+# Rows of a file are sorted by this column, so a search for few values skips row groups.
+_SORTED_BY = {STATS: "author_id", EDGES: "giver_id", ALL_TIME: "giver_id", MAPPING: "author_id", MESSAGES: "id"}
 _MONTH_FIELDS = [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
 MESSAGE_COLUMNS = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
 _COMMIT = T.StructType(
@@ -48,6 +54,7 @@ _COMMIT = T.StructType(
         T.StructField("table", T.StringType()),
         T.StructField("batch", T.StringType()),
         T.StructField("sequence", T.LongType()),
+        T.StructField("restart", T.BooleanType()),
     ]
 )
 _LABEL = re.compile(r"[A-Za-z0-9_.\-]+")
@@ -61,21 +68,18 @@ class Store:
         self.root = root.rstrip("/")
 
     def create(self) -> Store:
-        """Create the tables that are not there yet."""
-        with ThreadPoolExecutor(len(_SCHEMAS)) as pool:
-            list(pool.map(lambda table: self._empty(table, "ignore"), _SCHEMAS))
+        """Create the commit table if it is not there yet."""
         none = self.spark.createDataFrame([], _COMMIT)
         none.write.mode("ignore").parquet(f"{self.root}/{COMMITS}")
         return self
 
     def reset(self) -> None:
         """Empty the author months and the all-time reactions; all else stays."""
-        for table in (STATS, ALL_TIME):
-            self._empty(table, "overwrite")
+        label = f"reset-{self._last_sequence() + 1}"
+        self.put_together({table: self._none(table) for table in (STATS, ALL_TIME)}, label, restart=True)
 
-    def _empty(self, table: str, mode: str) -> None:
-        empty = self.spark.createDataFrame([], self._stored_schema(table)).limit(0)
-        empty.write.mode(mode).parquet(f"{self.root}/{table}")
+    def _none(self, table: str) -> DataFrame:
+        return self.spark.createDataFrame([], self._stored_schema(table))
 
     @staticmethod
     def _stored_schema(table: str) -> T.StructType:
@@ -86,33 +90,50 @@ class Store:
         return T.StructType([*fields, T.StructField("batch", T.StringType())])
 
     def commits(self) -> DataFrame:
-        """(table, batch, sequence) of what has been written completely."""
+        """(table, batch, sequence, restart) of what has been written completely."""
         return self.spark.read.schema(_COMMIT).parquet(f"{self.root}/{COMMITS}")
 
     def committed(self, table: str) -> dict[str, int]:
-        """Sequence number by label; one entry per batch, which compaction keeps few."""
-        rows = self.commits().where(F.col("table") == table).groupBy("batch")
+        """Sequence number by label of the batches that count; compaction keeps them few."""
+        rows = self.commits().where(F.col("table") == table)
+        since = rows.where("restart").agg(F.coalesce(F.max("sequence"), F.lit(0))).scalar()
+        rows = rows.where(F.col("sequence") >= since).groupBy("batch")
         return {r["batch"]: r["last"] for r in rows.agg(F.max("sequence").alias("last")).collect()}
 
+    def has_batch(self, table: str, label: str) -> bool:
+        """Whether the batch was ever committed, be it part of a compacted one since."""
+        return not self.commits().where((F.col("table") == table) & (F.col("batch") == label)).isEmpty()
+
     def batches(self, table: str) -> DataFrame:
         """All committed rows as written, with their batch label."""
-        rows = self.spark.read.schema(self._stored_schema(table)).parquet(f"{self.root}/{table}")
-        return rows.where(F.col("batch").isin(*sorted(self.committed(table))))
+        folders = [f"{self.root}/{table}/batch={label}" for label in sorted(self.committed(table))]
+        if not folders:
+            return self._none(table)
+        reader = self.spark.read.schema(self._stored_schema(table)).option("basePath", f"{self.root}/{table}")
+        return reader.parquet(*folders)
 
-    def put(self, table: str, rows: DataFrame, label: str) -> None:
+    def put(self, table: str, rows: DataFrame, label: str, restart: bool = False) -> None:
         """Write and commit ``rows`` as batch ``label``, replacing what it had."""
-        self._write(table, rows, label)
-        self._commit([table], label)
+        self.put_together({table: rows}, label, restart)
 
-    def put_together(self, parts: dict[str, DataFrame], label: str) -> None:
-        """Write one batch of several tables at the same time; all of it counts, or nothing."""
+    def put_together(self, parts: dict[str, DataFrame], label: str, restart: bool = False) -> None:
+        """Write one batch of several tables at the same time; all of it counts, or nothing.
+
+        With ``restart`` it replaces all that these tables hold. Its label must then be new,
+        since the rows may come from the batches it replaces.
+        """
+        if restart and any(self.has_batch(table, label) for table in parts):
+            raise ValueError(f"batch label {label!r} is in use")
         with ThreadPoolExecutor(len(parts)) as pool:
             list(pool.map(lambda table: self._write(table, parts[table], label), parts))
-        self._commit(list(parts), label)
+        self._commit(list(parts), label, restart)
 
-    def _commit(self, names: list[str], label: str) -> None:
-        last = self.commits().agg(F.max("sequence")).first()[0] or 0
-        rows = self.spark.createDataFrame([(name, label, last + 1) for name in names], _COMMIT)
+    def _last_sequence(self) -> int:
+        return self.commits().agg(F.max("sequence")).first()[0] or 0
+
+    def _commit(self, names: list[str], label: str, restart: bool) -> None:
+        number = self._last_sequence() + 1
+        rows = self.spark.createDataFrame([(name, label, number, restart) for name in names], _COMMIT)
         rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{COMMITS}")
 
     def _write(self, table: str, rows: DataFrame, label: str) -> None:
@@ -125,6 +146,8 @@ class Store:
         keys = ["year", "month"] if table in _MONTHLY else []
         # Few files per month, and several tasks for a month with many rows.
         rows = rows.hint("rebalance", *keys)
+        if table in _SORTED_BY:
+            rows = rows.sortWithinPartitions(*keys, _SORTED_BY[table])
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         writer.partitionBy(*keys).parquet(f"{self.root}/{table}/batch={label}")
 
@@ -156,16 +179,22 @@ class Store:
         return latest_usernames(self.batches(MAPPING))
 
     def messages(
-        self, columns: Sequence[str] = MESSAGE_COLUMNS, ids: DataFrame | None = None
+        self,
+        columns: Sequence[str] = MESSAGE_COLUMNS,
+        ids: DataFrame | None = None,
+        since: tuple[int, int] | None = None,
     ) -> DataFrame:
         """One row per id; of an id in several batches the batch committed last counts.
 
         Ask for the ``columns`` needed only: the others are then not read. ``ids(id)``, a
-        few rows, picks messages where they are read.
+        written table of a few rows, picks messages where they are read; ``since`` is the first
+        (year, month) to read.
         """
         rows = self.batches(MESSAGES)
+        if since is not None:
+            rows = rows.where(from_month(*since))
         if ids is not None:
-            rows = rows.join(F.broadcast(ids.select("id")), "id", "left_semi")
+            rows = rows.join(ids.select("id"), "id", "left_semi")
         order = self.spark.createDataFrame(
             sorted(self.committed(MESSAGES).items()), "batch string, sequence long"
         )
@@ -185,10 +214,8 @@ class Store:
             ),
         )
 
-    def compacted(self, root: str, label: str) -> Store:
-        """A copy with all batches added up into one, at another root, to go on with."""
-        copy = Store(self.spark, root).create()
-        parts = {
+    def _summed(self) -> dict[str, DataFrame]:
+        return {
             STATS: self.user_stats_monthly(),
             EDGES: self.user_reactions_monthly(),
             ALL_TIME: self.user_reactions(),
@@ -196,5 +223,13 @@ class Store:
             MESSAGES: self.messages(),
             OFFSETS: self.scan_offsets(),
         }
-        copy.put_together(parts, label)
+
+    def compact(self, label: str) -> None:
+        """Add all batches up into one, in place; ingest goes on behind it."""
+        self.put_together(self._summed(), label, restart=True)
+
+    def compacted(self, root: str, label: str) -> Store:
+        """A copy with all batches added up into one, at another root, to go on with."""
+        copy = Store(self.spark, root).create()
+        copy.put_together(self._summed(), label)
         return copy

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from agorametrics import fixed_values as fixed
 from agorametrics.operators import facts
-from agorametrics.operators.members import cleaned_usernames
+from agorametrics.operators.members import cleaned_usernames, latest_usernames, refresh_due
 from agorametrics.plans.joins import join_dimension
+from agorametrics.plans.tables import write_once
 from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
 
@@ -33,28 +33,38 @@ def write_facts(
     label: str,
     self_id: int | None = None,
     offsets: DataFrame | None = None,
+    originals: DataFrame | None = None,
 ) -> None:
     """Counts, reaction edges, quality messages and offsets of one batch, committed together.
 
-    ``messages`` holds one row per id. It is read by all writes; the batch is kept on
-    the executors meanwhile and recomputed where an executor is lost. The writes do not
-    depend on each other and run at the same time.
+    ``messages`` holds one row per id. It is read once; what the tables need of it is written
+    to an intermediate table, and the tables are made from that at the same time. With
+    ``originals``, messages carry ``reply_to_id`` in place of ``reference``, and quality messages
+    look up there what they reply to.
     """
     counted = facts.counted_messages(messages, self_id)
-    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        edges = facts.reaction_months(facts.reaction_events(counted))
-        batch = {
-            tables.STATS: facts.author_months(counted),
-            tables.EDGES: edges,
-            tables.ALL_TIME: facts.all_time_reactions(edges),
-            tables.MESSAGES: facts.quality_messages(counted),
-        }
-        if offsets is not None:
-            batch[tables.OFFSETS] = offsets
-        store.put_together(batch, label)
-    finally:
-        counted.unpersist()
+    reply = "reference" if originals is None else "reply_to_id"
+    narrow = write_once(facts.message_facts(counted, reply), "message-facts")
+    quality = narrow.where("quality is not null").select("quality.*")
+    if originals is not None:
+        quality = write_once(quality, "quality")
+        quality = facts.resolve_references(quality, facts.originals_of(quality, originals))
+    counts = narrow.select("author_id", "reaction_count", F.col("created_at").alias("ts"))
+    events = narrow.select(
+        F.explode("givers").alias("giver_id"), F.col("author_id").alias("receiver_id"), "created_at"
+    )
+    edges = write_once(facts.reaction_months(events), "edges")
+    batch = {
+        tables.STATS: facts.author_months_from_counts(counts),
+        tables.EDGES: edges,
+        tables.ALL_TIME: facts.all_time_reactions(edges),
+        tables.MESSAGES: quality.select(
+            "id", "content", "ts", "reaction_count", "author_id", *facts.reply_columns(F.col("reference"))
+        ),
+    }
+    if offsets is not None:
+        batch[tables.OFFSETS] = offsets
+    store.put_together(batch, label)
 
 
 def ingest_increment(
@@ -63,6 +73,7 @@ def ingest_increment(
     store: Store,
     as_of: dt.datetime,
     self_id: int | None = None,
+    originals: DataFrame | None = None,
 ) -> str:
     """Ingest what became a day old since the last run; returns the batch label.
 
@@ -73,18 +84,45 @@ def ingest_increment(
     """
     cutoff = _utc(as_of) - dt.timedelta(days=1)
     label = cutoff.strftime("%Y%m%dT%H%M%S.%f")
-    if label in store.committed(tables.OFFSETS):
+    if store.has_batch(tables.OFFSETS, label):
         return label
     scanned = facts.unscanned(raw, channels, store.scan_offsets(), cutoff)
     offsets = facts.next_offsets(scanned, channels, cutoff)
-    write_facts(facts.newest_copies(scanned), store, label, self_id, offsets)
+    write_facts(facts.newest_copies(scanned), store, label, self_id, offsets, originals)
+    return label
+
+
+def refresh_usernames(members: DataFrame, store: Store, as_of: dt.datetime) -> str | None:
+    """Bring the usernames of all members up to date, at most once a day.
+
+    The new snapshot holds the members of now and those who left, so readers read that one only.
+    Returns its label, or None if the last refresh was less than a day ago.
+    """
+    as_of = _utc(as_of)
+    label = as_of.strftime("%Y%m%dT%H%M%S.%f")
+    seconds = store.batches(tables.MAPPING).agg(F.max("last_updated").cast("double")).first()[0]
+    last = None if seconds is None else dt.datetime.fromtimestamp(seconds, dt.timezone.utc)
+    if not refresh_due(last, as_of):
+        return None
+    known = store.batches(tables.MAPPING).drop("batch")
+    snapshot = latest_usernames(known.unionByName(cleaned_usernames(members, as_of)))
+    store.put(tables.MAPPING, snapshot, label, restart=True)
     return label
 
 
-def refresh_usernames(members: DataFrame, store: Store, as_of: dt.datetime) -> str:
-    """Write the current usernames of all members."""
-    label = _utc(as_of).strftime("%Y%m%dT%H%M%S.%f")
-    store.put(tables.MAPPING, cleaned_usernames(members, as_of), label)
+def repopulate(raw: DataFrame, channels: DataFrame, store: Store, as_of: dt.datetime) -> str:
+    """Count what has been ingested so far anew and replace the stored months by that.
+
+    These are the messages of readable channels up to each channel's offset, so the next
+    increment goes on behind them. Bots are left out, and what came before the fixed date is
+    dropped. All-time reactions and quality messages stay as they are.
+    """
+    label = "repopulated-" + _utc(as_of).strftime("%Y%m%dT%H%M%S.%f")
+    done = facts.readable_channels(channels).join(store.scan_offsets(), "channel_id")
+    readable = join_dimension(raw, done, "channel_id", "id")
+    readable = readable.where(F.col("created_at") <= F.col("last_scanned")).drop("last_scanned")
+    stats, edges = facts.repopulated(facts.newest_copies(readable))
+    store.put_together({tables.STATS: stats, tables.EDGES: edges}, label, restart=True)
     return label
 
 
@@ -133,7 +171,7 @@ def start_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         label = f"{name}-{batch_id:012d}"
-        if label in store.committed(tables.OFFSETS):
+        if store.has_batch(tables.OFFSETS, label):
             return
         if channels is not None:
             batch = join_dimension(batch, facts.readable_channels(channels), "channel_id", "id")

@@ -209,7 +209,7 @@ def test_a_failed_run_counts_nothing(spark, tmp_path, channels, monkeypatch, nex
     before = contents(store)
     commit = Store._commit
 
-    def failing(self, names, label):
+    def failing(self, names, label, restart):
         raise OSError("lost")
 
     monkeypatch.setattr(Store, "_commit", failing)
@@ -236,6 +236,74 @@ def test_order_and_compaction_do_not_matter(spark, tmp_path, channels):
     compact = first.compacted(str(tmp_path / "compact"), "compact-1")
     ingest.ingest_increment(data, channels, compact, at(30))
     assert contents(compact) == contents(once)
+    first.compact("compact-1")
+    assert set(first.committed(tables.STATS)) == {"compact-1"}
+    # The label from before the compaction is still known, so a repeated run does nothing.
+    ingest.ingest_increment(data, channels, first, at(15))
+    ingest.ingest_increment(data, channels, first, at(30))
+    assert contents(first) == contents(once)
+    with pytest.raises(ValueError):
+        first.compact("compact-1")
+
+
+def test_replies_are_looked_up_for_quality_messages(spark, tmp_path, channels):
+    """The same messages with their references and with ids to look up fill equal stores."""
+    rows = [
+        message(1, content="first message, the old copy", fetched=at(6)),
+        message(1, content="first message, the new copy", fetched=at(7)),
+        message(2, reactions=FOUR),
+        message(3, reactions=FOUR),
+        message(4, author=2, reactions=[("up", 9, None)]),
+    ]
+    plain = raw(spark, *rows)
+    replies = F.when(F.col("id") == 2, 1).when(F.col("id") == 3, 99).cast("bigint")
+    data = plain.drop("reference").withColumn("reply_to_id", replies)
+    store = Store(spark, str(tmp_path / "store")).create()
+    ingest.ingest_increment(data, channels, store, at(30), originals=data)
+    got = store.messages().orderBy("id").collect()
+    assert [(r.id, r.reply_to_author, r.reply_to_content) for r in got] == [
+        (2, "name 1", "first message, the new copy"),
+        (3, "Deleted User", "Message was deleted"),
+        (4, None, None),
+    ]
+    assert sorted(tuple(r)[3:] for r in store.user_stats_monthly().collect()) == [(1, 9), (3, 8)]
+
+
+def test_newest_copies_shuffle_ids_only(spark):
+    data = raw(spark, message(1), message(1, fetched=at(9)), message(2))
+    plan = facts.newest_copies(data.where("id = 2"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    assert facts.newest_copies(data).count() == 2
+
+
+def test_repopulate_replaces_what_was_ingested(spark, tmp_path, channels):
+    data = raw(
+        spark,
+        message(1, reactions=FOUR),
+        message(2, author=3, bot=True, created=at(6)),
+        message(3, created=at(20), reactions=FOUR),
+        message(4, channel=2, reactions=FOUR),
+    )
+    store = Store(spark, str(tmp_path / "store")).create()
+    ingest.ingest_increment(data, channels, store, at(10))
+    ingest.repopulate(data, channels, store, at(11))
+    assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 1, 1, 4)]
+    assert store.user_reactions_monthly().count() == 2
+    # The next increment counts what came later, once.
+    ingest.ingest_increment(data, channels, store, at(30))
+    assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 1, 2, 8)]
+
+
+def test_usernames_are_refreshed_once_a_day(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    kind = "id long, display_name string, bot boolean"
+    first = spark.createDataFrame([(1, "a", False), (2, "b", False)], kind)
+    later = spark.createDataFrame([(1, "c", False)], kind)
+    assert ingest.refresh_usernames(first, store, at(5))
+    assert ingest.refresh_usernames(later, store, at(6, 11)) is None
+    assert ingest.refresh_usernames(later, store, at(6, 12))
+    assert {(r.author_id, r.username) for r in store.user_mapping().collect()} == {(1, "c"), (2, "b")}
+    assert len(store.committed(tables.MAPPING)) == 1
 
 
 def test_months_are_utc_in_any_session(spark, tmp_path, channels):

@@ -233,11 +233,9 @@ def repopulated_reactions(spark, sf):
 
 
 def ingested(spark: SparkSession, sf: str) -> Store:
-    store = Store(spark, new_folder(spark, "store")).create()
-    raw = write_once(given.raw_messages(spark, sf), "raw")
-    channels = given.channels(spark, sf)
+    raw, channels, store = _raw_and_days(spark, sf)
     for day in (dt.datetime(2024, 1, 17, tzinfo=UTC), dt.datetime(2024, 2, 2, tzinfo=UTC)):
-        ingest.ingest_increment(raw, channels, store, day, given.SELF_ID)
+        ingest.ingest_increment(raw, channels, store, day, given.SELF_ID, raw)
     return store
 
 
@@ -261,7 +259,7 @@ def ingest_stats(spark, sf):
 
 
 def _raw_and_days(spark: SparkSession, sf: str):
-    raw = write_once(given.raw_messages(spark, sf), "raw")
+    raw = given.replying_messages(spark, sf)
     return raw, given.channels(spark, sf), Store(spark, new_folder(spark, "store")).create()
 
 
@@ -273,7 +271,7 @@ def ingest_after_crash(spark, sf):
     scanned = facts.unscanned(raw, channels, store.scan_offsets(), first - dt.timedelta(days=1))
     counted = facts.counted_messages(facts.newest_copies(scanned), given.SELF_ID)
     store._write(tables.STATS, facts.author_months(counted), "20240116T000000.000000")
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID)
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID, raw)
     return store.user_stats_monthly()
 
 
@@ -282,16 +280,43 @@ def ingest_out_of_order(spark, sf):
     raw, channels, store = _raw_and_days(spark, sf)
     for month, day in ((1, 8), (2, 2), (1, 17)):
         as_of = dt.datetime(2024, month, day, tzinfo=UTC)
-        ingest.ingest_increment(raw, channels, store, as_of, given.SELF_ID)
+        ingest.ingest_increment(raw, channels, store, as_of, given.SELF_ID, raw)
     return store.user_stats_monthly()
 
 
 @query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
 def ingest_after_compaction(spark, sf):
     raw, channels, store = _raw_and_days(spark, sf)
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 1, 17, tzinfo=UTC), given.SELF_ID)
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 1, 17, tzinfo=UTC), given.SELF_ID, raw)
     store = store.compacted(new_folder(spark, "store"), "compact-1")
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID)
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID, raw)
+    return store.user_stats_monthly()
+
+
+@query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
+def ingest_compacted_in_place(spark, sf):
+    raw, channels, store = _raw_and_days(spark, sf)
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 1, 17, tzinfo=UTC), given.SELF_ID, raw)
+    store.compact("compact-1")
+    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID, raw)
+    return store.user_stats_monthly()
+
+
+@query(
+    with_ctes(
+        "raw readable",
+        f"""SELECT author_id, CAST(year(created_at) AS INTEGER) AS year,
+        CAST(month(created_at) AS INTEGER) AS month, count(*) AS total_messages,
+        CAST(sum(reaction_count) AS BIGINT) AS total_reactions
+        FROM raw JOIN readable USING (channel_id) WHERE created_at < TIMESTAMP '2024-02-01 00:00:00'
+        AND NOT ({sql.BLANK}) AND NOT author_bot GROUP BY 1, 2, 3""",
+    )
+)
+def repopulated_store(spark, sf):
+    """The stored months replaced by a new count, without bots."""
+    store = ingested(spark, sf)
+    raw, channels = given.replying_messages(spark, sf), given.channels(spark, sf)
+    ingest.repopulate(raw, channels, store, dt.datetime(2024, 2, 3, tzinfo=UTC))
     return store.user_stats_monthly()
 
 
@@ -404,6 +429,7 @@ def streamed(spark: SparkSession, sf: str) -> Store:
         name="events",
         self_id=given.SELF_ID,
         state_partitions=spark.sparkContext.defaultParallelism,
+        channels=given.channels(spark, sf),
     )
     stream.awaitTermination()
     return store

@@ -50,7 +50,7 @@ CTES: dict[str, str] = {
     "readable": "SELECT DISTINCT channel_id FROM raw WHERE channel_id <> 2",
     "counted": f"SELECT * FROM raw WHERE NOT ({BLANK}) AND author_id <> 13",
     "settled": """
-        SELECT * FROM counted WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR
+        SELECT * FROM counted JOIN readable USING (channel_id) WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR
             <= (SELECT max(created_at) - INTERVAL 1 DAY FROM raw)""",
     "scanned": """
         SELECT * FROM counted JOIN readable USING (channel_id)
@@ -162,7 +162,7 @@ _DEPENDS = {
     "event_reactions": ["event_edges"],
     "readable": ["raw"],
     "counted": ["raw"],
-    "settled": ["counted"],
+    "settled": ["counted", "readable"],
     "scanned": ["counted", "readable"],
     "mapping": ["members"],
     "order_stats": ["order_messages"],

@@ -121,6 +121,11 @@ def unresolved_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("reference", F.lit(None).cast(REFERENCE))
 
 
+def replying_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages that carry the id they reply to."""
+    return raw_from_events(table(spark, sf_dir, "events"))
+
+
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_from_events(table(spark, sf_dir, "events"))
     return resolve_references(raw, raw)
