@@ -2,9 +2,10 @@
 
 A rule rejects a text whose measure lies above a cutoff. Labelled good texts of a stratum (a
 language) are dealt into two halves by their id. The first half proposes sets of cutoffs, from
-mild to strict, without the rules that catch next to nothing there. On the second half each set's false rejections get an exact (Clopper-Pearson)
-upper bound, at a confidence shared by all sets and strata (Bonferroni). Of the sets whose bound
-is within the limit, the one that separates the first half best is taken, the mildest of equals.
+mild to strict, without the rules that catch next to nothing there. On the second half each set's
+false rejections get an exact (Clopper-Pearson) upper bound, at a confidence shared by all sets
+and strata (Bonferroni). Of the sets whose bound is within the limit, the one that separates the
+first half best is taken, the mildest of equals.
 A stratum where no set can be certified has no rules.
 
 Defined cases: null and empty texts have no words, fail the base rule and are rejected; a null
