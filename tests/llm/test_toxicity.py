@@ -40,6 +40,27 @@ def test_held_out_accuracy(spark):
     assert right / len(held) > 0.97 and sum(toxic) / len(toxic) > 0.85
 
 
+def test_attacks_never_lower_a_score(spark):
+    insults = [(k, f"you are an idiot number {k}", 1) for k in range(30)]
+    # German articles are no threats, and clean texts with a threat don't turn it around.
+    clean = [(100 + k, f"die Katze und die Maus {k}" + " i could kill you" * (k % 2), 0) for k in range(60)]
+    rows = spark.createDataFrame(insults + clean, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    weights = dict(zip(toxicity.TAGS, model.weights, strict=True))
+    assert all(weights[tag] >= 0 for tag in toxicity.ATTACKS) and weights["reported"] > 0
+    texts = spark.createDataFrame([(1, "die Katze"), (2, "you idiot"), (3, "i could kill you")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(texts, model).collect()}
+    assert score[2] >= 0.5 > score[1] and score[3] >= score[1]
+
+
+def test_unseen_tags_keep_their_weight(spark):
+    rows = [(k, "you are an idiot" if k % 2 else f"nothing but words {k}", k % 2) for k in range(60)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    weights = dict(zip(toxicity.TAGS, model.weights, strict=True))
+    assert weights["threat"] >= toxicity.FIXED_WEIGHTS[1][1] and weights["negated"] < 0
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     for docs, known in ((odd, labels), (odd, labels.limit(0)), (empty, labels)):
