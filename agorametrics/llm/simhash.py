@@ -197,8 +197,8 @@ def linked(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE, blocks:
         todo, blocks = rest.select("fp", "copies"), BLOCKS[-1]
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) per row of ``docs``."""
+def _grouped(docs: DataFrame, size: int, distance: int) -> DataFrame:
+    """(doc_id, text_key, fp, component, component_id) per row of ``docs``."""
     rows = write_once(fingerprints(docs, size), "fingerprints")
     fps = rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     fps = write_once(fps, "different")
@@ -206,23 +206,31 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, distance: int = DISTANCE
     named = found.join(fps.select("fp", "least"), "fp")
     ids = write_once(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     named = found.select("fp", "component").join(ids, "component")
-    named = write_once(named.select("fp", "component_id"), "fingerprint-ids")
-    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    named = write_once(named.select("fp", "component", "component_id"), "fingerprint-ids")
+    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, text_key, fp, component_id) per row of ``docs``."""
+    return _grouped(docs, size, distance).drop("component")
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id.
 
-    Of rows with that doc_id, the one with the smallest text key stays; of rows that agree in both,
-    one. A group without any doc_id keeps its smallest text key of the smallest fingerprint.
+    Groups are told apart by their links, not by ids, which may repeat or be null.
+    """
+    return heads_only(docs, write_once(_grouped(docs, size, distance), "near-duplicates"))
+
+
+def heads_only(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``component`` of ``found`` (doc_id, text_key, component).
+
+    The smallest doc_id stays, null last; of rows with that doc_id, the one with the smallest text
+    key; of rows that agree in both, one.
     """
-    found = write_once(near_duplicates(docs, size, distance), "near-duplicates")
-    named = found.where("component_id is not null")
-    heads = named.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    # Groups without an id are told apart by their fingerprint only.
-    nameless = found.where("component_id is null").groupBy("fp").agg(F.min("text_key").alias("text_key"))
-    nameless = nameless.select(F.lit(None).cast("long").alias("doc_id"), "text_key")
-    heads = heads.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key").unionByName(nameless)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("head")
+    heads = found.groupBy("component").agg(first).select("head.doc_id", "head.text_key")
     times = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
     heads = write_once(
         heads.alias("h")

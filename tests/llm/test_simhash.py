@@ -113,3 +113,18 @@ def test_odd_rows(odd, empty, long_text):
 def test_repeated_rows_are_one(spark, odd):
     docs = odd.select("doc_id", "text").where(F.col("doc_id") == 1)
     assert simhash.one_of_each(docs.unionByName(docs)).count() == 1
+
+
+def test_groups_that_share_or_lack_ids(spark):
+    """Equal ids on unlinked texts lose no group; near copies without ids are one group."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(5, a), (7, a), (5, b), (12, b)], "doc_id long, text string")
+    kept = simhash.one_of_each(docs).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(5, a), (5, b)]
+
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join([*words[:-1], last]) for last in ("x", "y", "z")]
+    prints = [brute_fingerprint(t) for t in near]
+    assert len(set(prints)) > 1 and all(bin(prints[0] ^ p).count("1") <= 4 for p in prints)
+    docs = spark.createDataFrame([(None, t) for t in near], "doc_id long, text string")
+    assert simhash.one_of_each(docs).count() == 1
