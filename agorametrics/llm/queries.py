@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agorametrics.llm import (
     decontam,
+    hard_negatives,
     line_dedup,
     mixing,
     pii,
@@ -16,6 +17,7 @@ from agorametrics.llm import (
     token_counts,
     toxicity,
     url_rules,
+    whitening,
 )
 
 TOKENIZER = "word_bpe_49k.json"
@@ -90,6 +92,17 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).drop("parts")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, folder, "embeddings"), is_anchor=F.col("vec_id") % 50 == 0, label=moved
+    )
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 LINE_DEDUP_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
@@ -168,6 +181,34 @@ SELECT low.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
 FROM low LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+),
+positives AS (
+  SELECT * FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+),
+found AS (
+  SELECT anchor_id, positives.other AS positive_id, n.other AS negative_id,
+    positives.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positives.other ORDER BY n.score DESC, n.other) AS rank
+  FROM positives JOIN p n USING (anchor_id)
+  WHERE NOT n.same AND 50 * positives.score <= 100 * n.score AND 100 * n.score <= 95 * positives.score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= 3
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -181,10 +222,13 @@ QUERIES = {
         op8_token_counts,
         op9_quality_rules,
         op10_mixing,
+        op11_hard_negatives,
+        op13_whitening,
     )
 }
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op5_sharding": SHARDING_SQL,
     "op6_decontamination": DECONTAMINATION_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
 }

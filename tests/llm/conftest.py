@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
