@@ -11,6 +11,7 @@ from agorametrics.llm import (
     line_dedup,
     mixing,
     pii,
+    prefix_tree,
     quality,
     sharding,
     simhash,
@@ -99,6 +100,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_tree.near_duplicates(table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
@@ -223,6 +228,7 @@ QUERIES = {
         op9_quality_rules,
         op10_mixing,
         op11_hard_negatives,
+        op12_ngram_join,
         op13_whitening,
     )
 }
