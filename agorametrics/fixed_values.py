@@ -50,7 +50,6 @@ EDGE_QUANTILE = 0.80
 CENTRALITY_MAX_ITER = 100
 CENTRALITY_TOLERANCE = 1e-6
 CLUSTERS = 4
-CLUSTER_SEED = 42
 CLUSTER_ROUNDS = 300
 MATRIX_MIN_FIGURE = 24.0
 MATRIX_FIGURE_PER_USER = 0.6

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,24 +39,100 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", *[scaled(c) for c in columns])
 
 
+def _spread(points: DataFrame, columns: list[str]) -> list[tuple[float, float]]:
+    """Mean and population deviation of columns of whole numbers, from exact sums.
+
+    Exact sums don't depend on the order of the rows, so all that follows is the same on each run.
+    """
+    whole = "decimal(38,0)"
+    sums = [F.sum(F.col(c).cast(whole)).alias(f"sum_{c}") for c in columns]
+    squares = [F.sum((F.col(c) * F.col(c)).cast(whole)).alias(f"squares_{c}") for c in columns]
+    row = points.agg(F.count("*").alias("n"), *sums, *squares).first()
+
+    def of(name: str) -> tuple[float, float]:
+        n, total, squared = row["n"], int(row[f"sum_{name}"]), int(row[f"squares_{name}"])
+        # Whole numbers up to the root: a constant column has no spread at all.
+        return total / n, math.sqrt(n * squared - total * total) / n or 1.0
+
+    return [of(c) for c in columns]
+
+
+def _distance(columns: list[str], centre: list[float], deviations: list[float]) -> Column:
+    """Squared distance to ``centre``, each column in units of its deviation."""
+    steps = [(F.col(c) - F.lit(at)) / F.lit(dev) for c, at, dev in zip(columns, centre, deviations, strict=True)]
+    return functools.reduce(Column.__add__, [step * step for step in steps])
+
+
+def _nearest(columns: list[str], centres: list[list[float]], deviations: list[float]) -> Column:
+    """(distance, cluster) of the nearest centre, the first of equals."""
+    each = [
+        F.struct(_distance(columns, centre, deviations).alias("distance"), F.lit(k).alias("cluster"))
+        for k, centre in enumerate(centres)
+    ]
+    return F.array_min(F.array(*each))
+
+
+def farthest_points(
+    points: DataFrame, columns: list[str], k: int, key: str, spread: list[tuple[float, float]]
+) -> list[list[float]]:
+    """``k`` rows as first centres: the one farthest from the mean, then each time the one farthest
+    from its nearest centre so far. Ties go to the smallest key.
+
+    Each is one aggregate that keeps a single candidate per task. Fewer come back if the rows
+    hold fewer different points.
+    """
+    means, deviations = [m for m, _ in spread], [d for _, d in spread]
+    centres: list[list[float]] = []
+    while len(centres) < k:
+        near = _nearest(columns, centres or [means], deviations).getField("distance")
+        row = points.agg(F.max(F.struct(near.alias("distance"), (-F.col(key)).alias("key"), *columns)).alias("r")).first()["r"]
+        if centres and not row["distance"] > 0:
+            break
+        centres.append([float(row[c]) for c in columns])
+    return centres
+
+
 def kmeans_labels(
-    points: DataFrame, columns: list[str], k: int = fixed.CLUSTERS, seed: int = fixed.CLUSTER_SEED
+    points: DataFrame, columns: list[str], k: int = fixed.CLUSTERS, key: str = "user_id", rounds: int = fixed.CLUSTER_ROUNDS
 ) -> DataFrame:
-    """Add ``cluster``. The numbers are arbitrary names for the groups."""
+    """Add ``cluster`` by Lloyd's k-means over standardised ``columns`` of whole numbers.
+
+    Starts from farthest points, so it needs no seed, and the clusters are numbered in that order.
+    A round is one aggregate: the ``k`` centres stand in the plan as constants, each row finds its
+    nearest, ties to the first, and sums combine before the shuffle. A centre without rows stays. It
+    ends when a round changes no row, or after ``rounds``. ``points`` is read once a round, so it
+    should be a written table.
+    """
     if len(points.limit(k).collect()) < k:
         raise ValueError(f"clustering into {k} groups needs at least {k} rows")
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(points)
-    model = KMeans(k=k, seed=seed, maxIter=fixed.CLUSTER_ROUNDS, featuresCol="features", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).drop("features")
+    spread = _spread(points, columns)
+    deviations = [d for _, d in spread]
+    centres = farthest_points(points, columns, k, key, spread)
+    before: list[list[float]] | None = None
+    for _ in range(rounds):
+        now = _nearest(columns, centres, deviations).getField("cluster")
+        was = F.lit(-1) if before is None else _nearest(columns, before, deviations).getField("cluster")
+        labelled = points.select(now.alias("cluster"), was.alias("was"), *columns)
+        sums = labelled.groupBy("cluster").agg(
+            F.count("*").alias("n"),
+            F.sum((F.col("cluster") != F.col("was")).cast("long")).alias("changed"),
+            *(F.sum(c).alias(c) for c in columns),
+        ).collect()
+        if not sum(r["changed"] for r in sums):
+            break
+        before, centres = centres, list(centres)
+        for r in sums:
+            centres[r["cluster"]] = [r[c] / r["n"] for c in columns]
+    return points.withColumn("cluster", _nearest(columns, centres, deviations).getField("cluster"))
 
 
 def user_clusters(reactions: DataFrame, members: DataFrame, k: int = fixed.CLUSTERS) -> DataFrame:
-    """Cluster of every member who is not a bot."""
+    """Cluster of every member who is not a bot, by reactions given and received."""
     people = non_bot_members(members)
     totals = member_reactions(reactions, people.select(F.col("id").alias("user_id")))
     # Every k-means round reads the points again: write the aggregated counts once.
     points = write_once(totals, "cluster-points")
-    labelled = kmeans_labels(standardised(points, ["given", "received"]), ["z_given", "z_received"], k)
+    labelled = kmeans_labels(points, ["given", "received"], k)
     return labelled.join(people.withColumnRenamed("id", "user_id"), "user_id", "left").select(
         "user_id",
         member_name(F.col("display_name"), F.col("user_id")).alias("user"),

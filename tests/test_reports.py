@@ -1,6 +1,8 @@
 """Reports on small tables worked out by hand."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -286,6 +288,49 @@ def test_clusters_separate_clear_groups(spark):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def brute_kmeans(points, k):
+    """Lists of (id, numbers): farthest-point seeds, then rounds until nothing changes."""
+    n, width = len(points), range(len(points[0][1]))
+    mean = [sum(x[j] for _, x in points) / n for j in width]
+    dev = [
+        math.sqrt(n * sum(x[j] ** 2 for _, x in points) - sum(x[j] for _, x in points) ** 2) / n or 1.0 for j in width
+    ]
+    far = lambda x, c: sum(((x[j] - c[j]) / dev[j]) * ((x[j] - c[j]) / dev[j]) for j in width)
+    centres = []
+    while len(centres) < k:
+        best = max(points, key=lambda p: (min(far(p[1], c) for c in centres or [mean]), -p[0]))
+        centres.append(list(best[1]))
+    labels = None
+    while True:
+        new = {i: min(range(k), key=lambda c: (far(x, centres[c]), c)) for i, x in points}
+        if new == labels:
+            return labels
+        labels = new
+        for c in set(labels.values()):
+            own = [x for i, x in points if labels[i] == c]
+            centres[c] = [sum(x[j] for x in own) / len(own) for j in width]
+
+
+@pytest.mark.parametrize("k", [1, 3, 4])
+def test_kmeans_equals_brute_force(spark, k):
+    """Random points with ties, whatever the partitions."""
+    rng = random.Random(k)
+    points = [(i, (rng.randrange(12), rng.randrange(12) ** 2, 7)) for i in range(150)]
+    df = spark.createDataFrame([(i, *x) for i, x in points], "user_id long, a long, b long, c long")
+    expected = brute_kmeans(points, k)
+    for parts in (1, 5):
+        got = clusters.kmeans_labels(df.repartition(parts), ["a", "b", "c"], k).collect()
+        assert {r.user_id: r.cluster for r in got} == expected
+
+
+def test_kmeans_with_fewer_points_than_clusters(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(9)], "user_id long, a long")
+    got = clusters.kmeans_labels(df, ["a"], 4).collect()
+    assert {(r.a, r.cluster) for r in got} in ({(0, 0), (1, 1)}, {(0, 1), (1, 0)})
+    same = clusters.kmeans_labels(df.withColumn("a", F.lit(3)), ["a"], 4).collect()
+    assert {r.cluster for r in same} == {0}
+
+
 def test_clusters_need_enough_members(spark):
     members = spark.createDataFrame([(1, "a", False)], MEMBERS)
     edges = spark.createDataFrame([(1, 2, 3)], "giver_id long, receiver_id long, reaction_count long")

@@ -977,9 +977,46 @@ def cluster_features(spark, sf):
     return rounded(scaled.select("user_id", "z_given", "z_received"), "z_given", "z_received")
 
 
-@query()
+def _clusters_sql() -> str:
+    """Farthest-point seeds and Lloyd rounds for four clusters of two columns."""
+
+    def far(centre: str) -> str:
+        return f"((given - {centre}.g) / m.dg) * ((given - {centre}.g) / m.dg) + ((received - {centre}.r) / m.dr) * ((received - {centre}.r) / m.dr)"
+
+    def seed(k: int) -> str:
+        near = far("m") if k == 0 else "least(" + ", ".join(far(f"s{j}") for j in range(k)) + ")"
+        others = "".join(f", s{j}" for j in range(k))
+        return f"s{k} AS (SELECT given::DOUBLE AS g, received::DOUBLE AS r FROM p, m{others} ORDER BY {near} DESC, user_id LIMIT 1)"
+
+    def nearest(centres: list[str]) -> str:
+        each = ", ".join(f"{{'d': {far(c)}, 'k': {k}}}" for k, c in enumerate(centres))
+        return f"list_min([{each}]).k"
+
+    means = ", ".join(
+        f"""{{'g': coalesce(sum(given) FILTER (WHERE cluster = {k}) OVER () / count(*) FILTER (WHERE cluster = {k}) OVER (), c{k}.g),
+        'r': coalesce(sum(received) FILTER (WHERE cluster = {k}) OVER () / count(*) FILTER (WHERE cluster = {k}) OVER (), c{k}.r)}} AS n{k}"""
+        for k in range(4)
+    )
+    return f"""p AS (
+      SELECT id AS user_id, display_name AS "user", coalesce(given, 0)::BIGINT AS given, coalesce(received, 0)::BIGINT AS received
+      FROM members LEFT JOIN ({_SIDES.format("order_reactions")}) ON user_id = id WHERE NOT bot),
+    m AS (SELECT sum(given) / count(*) AS g, sum(received) / count(*) AS r,
+      coalesce(nullif(sqrt((count(*) * sum(given * given) - sum(given) * sum(given))::DOUBLE) / count(*), 0), 1) AS dg,
+      coalesce(nullif(sqrt((count(*) * sum(received * received) - sum(received) * sum(received))::DOUBLE) / count(*), 0), 1) AS dr
+      FROM p),
+    {seed(0)}, {seed(1)}, {seed(2)}, {seed(3)},
+    rounds AS (
+      SELECT 0 AS round, p.*, {nearest(["s0", "s1", "s2", "s3"])} AS cluster, -1 AS was,
+        {", ".join(f"s{k} AS c{k}" for k in range(4))}
+      FROM p, m, s0, s1, s2, s3
+      UNION ALL
+      SELECT round + 1, user_id, "user", given, received, {nearest(["n0", "n1", "n2", "n3"])}, cluster, n0, n1, n2, n3
+      FROM (SELECT *, bool_or(cluster <> was) OVER () AS moved, {means} FROM rounds), m WHERE moved)
+    SELECT user_id, "user", given, received, cluster FROM rounds WHERE round = (SELECT max(round) FROM rounds)"""
+
+
+@query(with_ctes("order_reactions members", _clusters_sql(), recursive=True))
 def user_clusters(spark, sf):
-    """K-means labels depend on the library; tests check the grouping instead."""
     return clusters.user_clusters(given.order_reactions(spark, sf), given.members(spark, sf))
 
 
