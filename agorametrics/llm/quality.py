@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agorametrics.llm.common import row_struct
+from agorametrics.llm.common import BROADCAST_BYTES, row_struct
 from agorametrics.plans.tables import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -224,15 +224,26 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _measured(counted: DataFrame) -> DataFrame:
+    """(doc_id, stratum, failed, measure) from (doc_id, stratum, counts)."""
+    c = F.col("counts")
+    return counted.select("doc_id", "stratum", base_failed(c).alias("failed"), measures(c).alias("measure"))
+
+
 def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    seen = docs.select("doc_id", _stratum(F.col("lang")).alias("stratum"), counts(F.col("text")).alias("counts"))
-    known = seen.select("doc_id", "stratum", base_failed(F.col("counts")).alias("failed"), measures(F.col("counts")).alias("measure"))
-    cutoffs = certified_cutoffs(write_once(known, "quality-counts"), labels)
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Only labelled texts are counted for the cutoffs; then each text once, where it is filtered.
+    """
+    ids = labels.where("quality is not null and doc_id is not null").select("doc_id").distinct()
+    ids = write_once(ids, "quality-labelled")
+    small = 16 * ids.count() <= BROADCAST_BYTES
+    seen = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    seen = seen.select("doc_id", _stratum(F.col("lang")).alias("stratum"), counts(F.col("text")).alias("counts"))
+    cutoffs = certified_cutoffs(write_once(_measured(seen), "quality-counts"), labels)
     row = F.col("row")
-    rows = row_struct(docs).select(
-        "row", _stratum(row["lang"]).alias("stratum"), counts(row["text"]).alias("counts")
-    )
-    rows = rows.select("row", "stratum", base_failed(F.col("counts")).alias("failed"), measures(F.col("counts")).alias("measure"))
-    fails = F.coalesce(_fails(F.col("measure"), F.col("cutoffs")), F.lit(False))
-    return rows.where("not failed").join(cutoffs, "stratum", "left").where(~fails).select("row.*")
+    rows = row_struct(docs).withColumn("stratum", _stratum(row["lang"])).join(cutoffs, "stratum", "left")
+    # One condition, so that the texts are counted once.
+    c = counts(row["text"])
+    fails = base_failed(c) | F.coalesce(_fails(measures(c), F.col("cutoffs")), F.lit(False))
+    return rows.where(~fails).select("row.*")

@@ -1,7 +1,9 @@
 from collections import Counter
 
+from brute import near_groups
+
 import corpus_pipeline
-from agorametrics.llm import decontam, quality, queries, simhash
+from agorametrics.llm import decontam, quality, queries
 
 
 def test_stages_on_the_small_tables(spark, sf):
@@ -14,15 +16,15 @@ def test_stages_on_the_small_tables(spark, sf):
     assert out.columns == columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(k for k in kept if judged[k])
 
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(out).collect()}
+    heads = sorted(g[0] for g in near_groups({k: r["text"] for k, r in kept.items() if judged[k]}, empty_link=True))
     alone = stages["near_dedup"](spark, out, sf)
     assert alone.columns == columns
-    assert sorted(r["doc_id"] for r in alone.collect()) == sorted(set(groups.values()))
+    assert sorted(r["doc_id"] for r in alone.collect()) == heads
 
     bad = {r["doc_id"] for r in decontam.judged(alone, queries.table(spark, sf, "benchmark")).collect() if r["contaminated"]}
     clean = stages["decontamination"](spark, alone, sf)
     assert clean.columns == columns
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(set(groups.values()) - bad)
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(set(heads) - bad)
 
 
 def test_run(spark, sf):
