@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agorametrics.operators.sampling import random_quote, random_row
 from agorametrics.sources import store as tables
+from agorametrics.sources import quotes
 from agorametrics.sources.quotes import read_quotes
 from agorametrics.sources.store import Store
 
@@ -46,6 +47,55 @@ def test_random_row_of_nothing(spark):
     assert random_row(spark.range(0)).collect() == []
 
 
+def load(spark, path):
+    quotes.register(spark)
+    return spark.read.format(quotes.FORMAT).load(str(path))
+
+
+def test_source_of_a_missing_file(spark, tmp_path):
+    for path in (tmp_path / "none.yaml", tmp_path, tmp_path / "*.yaml"):
+        with pytest.raises(Exception, match="cannot open"):
+            load(spark, path)
+
+
+@pytest.mark.parametrize("content", ["", "just a text", "[]", "a: [unclosed", "{a: 1}"])
+def test_source_of_unusable_files(spark, tmp_path, content):
+    """The first file is looked at on load, another when it is read."""
+    with pytest.raises(Exception, match="does not hold|not valid|empty list"):
+        load(spark, quote_file(tmp_path, content))
+    (tmp_path / "a.yaml").write_text("[fine]", encoding="utf8")
+    both = load(spark, tmp_path)
+    with pytest.raises(Exception, match="does not hold|not valid|empty list"):
+        both.collect()
+
+
+def test_source_reads_files_in_parallel(spark, tmp_path):
+    assert load(spark, quote_file(tmp_path, '["Quote 0"]')).collect()[0].quote == "Quote 0"
+    for k in range(3):
+        (tmp_path / f"more{k}.yaml").write_text(f'- "Quote ü{k}"\n- {k}\n', encoding="utf8")
+    (tmp_path / "_hidden.yaml").write_text("{}", encoding="utf8")
+    found = load(spark, tmp_path)
+    assert {r.quote for r in found.collect()} == {"Quote 0"} | {f"Quote ü{k}" for k in range(3)} | set("012")
+    assert found.rdd.getNumPartitions() == 4
+    assert load(spark, f"file://{tmp_path}/more*.yaml").count() == 6
+    assert random_quote(found, 5).count() == 1
+
+
+def test_source_writes_what_it_reads(spark, tmp_path):
+    quotes.register(spark)
+    odd = ["plain", "", "- a: b", "two\nlines", "'quo\"tes'", "ünï 🎉", " spaces ", "null", "12", "x" * 300, "tab\t"]
+    df = spark.createDataFrame([(q,) for q in odd], "quote string")
+    folder = str(tmp_path / "out")
+    df.repartition(3).write.format(quotes.FORMAT).mode("append").save(folder)
+    assert sorted(r.quote for r in load(spark, folder).collect()) == sorted(odd)
+    assert sorted(r.quote for r in read_quotes(spark, folder + "/*.yaml").collect()) == sorted(odd)
+    df.limit(1).write.format(quotes.FORMAT).mode("append").save(folder)
+    assert load(spark, folder).count() == len(odd) + 1
+    df.limit(2).write.format(quotes.FORMAT).mode("overwrite").save(folder)
+    assert load(spark, folder).count() == 2
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+
+
 STATS = "author_id long, year int, month int, total_messages long, total_reactions long"
 
 

@@ -26,6 +26,7 @@ from agorametrics.operators import (
 )
 from agorametrics.operators import members as people
 from agorametrics.plans.tables import new_folder, write_once
+from agorametrics.sources import quotes
 from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
 from agorametrics.streaming import ingest
@@ -1100,3 +1101,13 @@ def random_message(spark, sf):
 def random_quote(spark, sf):
     quotes = given.table(spark, sf, "benchmark").select(F.col("text").alias("quote"))
     return sampling.random_quote(quotes, seed=7)
+
+
+@query("SELECT text AS quote FROM benchmark WHERE text IS NOT NULL")
+def quotes_from_files(spark, sf):
+    """The benchmark texts, written as YAML lists by the quote source and read again."""
+    quotes.register(spark)
+    folder = new_folder(spark, "quotes")
+    texts = given.table(spark, sf, "benchmark").where("text is not null").select(F.col("text").alias("quote"))
+    texts.repartition(3).write.format(quotes.FORMAT).mode("append").save(folder)
+    return spark.read.format(quotes.FORMAT).load(folder)
