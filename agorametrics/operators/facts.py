@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agorametrics import fixed_values as fixed
 from agorametrics.functions.months import month_keys
 from agorametrics.functions.text import is_blank, is_valid_message
-from agorametrics.plans.joins import join_dimension
+from agorametrics.plans.joins import MAX_BROADCAST_ROWS, join_dimension
 from agorametrics.plans.tables import write_once
 from agorametrics.schemas import REACTIONS
 
@@ -65,21 +65,33 @@ def offset_for(offsets: DataFrame, channel_id: int) -> DataFrame:
     return offsets.where(F.col("channel_id") == channel_id).select("last_scanned")
 
 
-def newest_copies(raw: DataFrame) -> DataFrame:
-    """One row per message id, the copy fetched last.
+def newest_copies(rows: DataFrame, at: str = "fetched_at") -> DataFrame:
+    """One row per id, the copy with the newest ``at``; of equally new ones any.
 
-    Only ids are shuffled to find those with several copies; messages without copies, nearly
-    all, then pass as they are. The copies are aggregated rather than ranked in a window, which
-    drops them before the shuffle, so an id with very many copies does not load one task.
+    Only ids and times are shuffled to find the ids with several copies, which are few. All rows
+    then pass by these, broadcast if they are few enough and else joined, and older copies are
+    dropped where they are. Only copies of one id that are equally new are brought together.
     """
-    several = raw.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
-    several = write_once(several, "repeated-ids")
-    if several.isEmpty():
-        return raw
-    columns = [c for c in raw.columns if c != "id"]
-    newest = F.max_by(F.struct(*columns), "fetched_at").alias("copy")
-    copies = raw.join(several, "id", "left_semi").groupBy("id").agg(newest).select("id", "copy.*")
-    return raw.join(several, "id", "left_anti").unionByName(copies)
+    several = rows.groupBy("id").agg(F.count("*").alias("copies"), F.max(at).alias("newest")).where("copies > 1")
+    several = write_once(several.select("id", "newest"), "repeated-ids")
+    n = several.count()
+    if not n:
+        return rows
+    known = several.toDF("_id", "_newest")
+    several = F.broadcast(known) if n <= MAX_BROADCAST_ROWS else known
+    kept = rows.join(several, F.col("id") == F.col("_id"), "left")
+    kept = kept.where(F.col("_id").isNull() | F.col(at).eqNullSafe(F.col("_newest")))
+    alike = kept.where("_id is not null").groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
+    alike = write_once(alike.select(F.col("id").alias("_alike")), "alike-ids")
+    kept = kept.drop("_id", "_newest")
+    n = alike.count()
+    if not n:
+        return kept
+    few = F.broadcast(alike) if n <= MAX_BROADCAST_ROWS else alike
+    single = kept.join(few, F.col("id") == F.col("_alike"), "left_anti")
+    columns = [c for c in rows.columns if c != "id"]
+    one = kept.join(few, F.col("id") == F.col("_alike"), "left_semi").groupBy("id")
+    return single.unionByName(one.agg(F.first(F.struct(*columns)).alias("copy")).select("id", "copy.*"))
 
 
 def counted_messages(raw: DataFrame, self_id: int | None = None, skip_bots: bool = False) -> DataFrame:
@@ -219,11 +231,12 @@ def quality_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def message_facts(messages: DataFrame, reply: str = "reference") -> DataFrame:
+def message_facts(messages: DataFrame, self_id: int | None = None, reply: str = "reference") -> DataFrame:
     """What the stored tables need of each message, and no more.
 
-    ``(author_id, created_at, reaction_count, givers, quality)``: the people behind its reactions,
-    and for a quality message its own columns with ``reply``, as it is in ``messages``.
+    ``(id, channel_id, fetched_at, counted, author_id, created_at, reaction_count, givers, quality)``:
+    whether the message counts, the people behind its reactions, and for a quality message that
+    counts its own columns with ``reply``, as it is in ``messages``.
     """
     total = reaction_total(F.col("reactions"))
     none = F.array().cast("array<bigint>")
@@ -234,20 +247,58 @@ def message_facts(messages: DataFrame, reply: str = "reference") -> DataFrame:
             lambda r: F.coalesce(F.transform(people(r["users"]), lambda u: u["id"]), none),
         )
     )
+    counted = F.coalesce(~is_blank(F.col("content")), F.lit(False))
+    if self_id is not None:
+        counted = counted & F.coalesce(F.col("author.id") != self_id, F.lit(False))
     quality = F.struct(
         "id",
         "content",
         F.col("created_at").alias("ts"),
         total.alias("reaction_count"),
         F.col("author.id").alias("author_id"),
+        "fetched_at",
         F.col(reply),
     )
     return messages.select(
+        "id",
+        "channel_id",
+        "fetched_at",
+        counted.alias("counted"),
         F.col("author.id").alias("author_id"),
         "created_at",
         total.alias("reaction_count"),
         F.coalesce(givers, none).alias("givers"),
-        F.when(is_quality(F.col("content"), total), quality).alias("quality"),
+        F.when(counted & is_quality(F.col("content"), total), quality).alias("quality"),
+    )
+
+
+def tagged_counts(messages: DataFrame) -> DataFrame:
+    """Author months, reaction months and all-time reactions from one pass over message facts.
+
+    ``(tag, a, b, year, month, n, reactions)``: a message gives a row to its author's month, and
+    each reaction one to its giver and receiver, with and without the month. All are added up by
+    one shuffle.
+    """
+    year, month = month_keys(F.col("created_at"))
+
+    def row(tag: str, a: Column, b: Column, monthly: bool, reactions: Column) -> Column:
+        return F.struct(
+            F.lit(tag).alias("tag"),
+            a.cast("bigint").alias("a"),
+            b.cast("bigint").alias("b"),
+            (F.col("year") if monthly else F.lit(0)).alias("year"),
+            (F.col("month") if monthly else F.lit(0)).alias("month"),
+            reactions.cast("bigint").alias("reactions"),
+        )
+
+    author, no = F.col("author_id"), F.lit(None)
+    own = F.array(row("stats", author, no, True, F.col("reaction_count")))
+    monthly = F.transform("givers", lambda giver: row("edges", giver, author, True, no))
+    all_time = F.transform("givers", lambda giver: row("all_time", giver, author, False, no))
+    rows = messages.where("counted").select(year, month, "author_id", "reaction_count", "givers")
+    rows = rows.select(F.inline(F.concat(own, monthly, all_time)))
+    return rows.groupBy("tag", "a", "b", "year", "month").agg(
+        F.count("*").alias("n"), F.sum("reactions").alias("reactions")
     )
 
 

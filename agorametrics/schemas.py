@@ -127,3 +127,29 @@ RAW_MESSAGES = T.StructType(
         T.StructField("fetched_at", T.TimestampType()),
     ]
 )
+
+# Additive facts of all stored tables, one wide row type; a table uses the columns it needs.
+FACTS = T.StructType(
+    [
+        T.StructField("a", T.LongType()),
+        T.StructField("b", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("reactions", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("seen", T.TimestampType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("reply_to_id", T.LongType()),
+        T.StructField("reply_to_author", T.StringType()),
+        T.StructField("reply_to_content", T.StringType()),
+    ]
+)
+
+# The folders they are kept in.
+FACT_KEYS = T.StructType(
+    [
+        T.StructField("kind", T.StringType()),
+        T.StructField("batch", T.StringType()),
+        T.StructField("year", T.IntegerType()),
+        T.StructField("month", T.IntegerType()),
+    ]
+)

@@ -24,6 +24,18 @@ STREAM_SETTINGS = {
 }
 
 
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of its own for a stream, with the stream settings; ``spark`` keeps its own.
+
+    ``partitions`` is how many parts the stream's state is kept in. Read the stream from it.
+    """
+    session = spark.newSession()
+    for key, value in {**SETTINGS, **STREAM_SETTINGS}.items():
+        session.conf.set(key, value)
+    session.conf.set("spark.sql.shuffle.partitions", partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    return session
+
+
 def local_session(name: str, cpus: int | str = "*", **extra: str) -> SparkSession:
     """A local session for tests and benches; clusters bring their own session."""
     builder = (

@@ -1,32 +1,33 @@
-"""The stored tables: parquet folders that grow by labelled batches.
-
-Every ingest run or micro-batch writes its own partial counts to
-``<table>/batch=<label>/year=.../month=...``; readers add the batches up. A batch counts
-from the moment its commit record is written, which is one small file for all its tables
-and comes last. What a failed run left behind is never read, month filters prune folders,
-and batches are told apart in time by the commit's sequence number, not by their labels.
-
-A commit can also restart tables: what they held before then no longer counts. Compaction,
-repopulation, the username snapshot and the reset are such commits, so they happen at once or
-not at all. Only the folders of batches that count are listed.
-
-A store has one writer at a time.
+"""The stored tables: one parquet table of additive facts, partitioned by table, batch and month.
+
+Every ingest run or micro-batch writes all its tables in one job, to
+``facts/kind=<table>/batch=<batch>/year=.../month=...``, by dynamic partition overwrite: a batch
+that is written again replaces itself, and touches nothing else. What a failed job wrote stays in
+hidden folders until the job commits, so counts and the offsets behind them show up together.
+Readers add the batches up; month filters prune folders, and files are sorted by user. Batches are
+numbered or named by whoever writes them; a store has one writer at a time.
+
+Compaction, repopulation, the username snapshot and the reset replace whole tables. They are
+staged in full before they replace anything; the step between is not atomic, so run them while
+nobody reads, and again if they fail.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agorametrics import fixed_values as fixed
 from agorametrics import schemas
 from agorametrics.functions.months import from_month, month_keys, utc_wall
+from agorametrics.operators.facts import newest_copies
 from agorametrics.operators.members import latest_usernames
+from agorametrics.plans.tables import write_once
 
 STATS = "user_stats_monthly"
 EDGES = "user_reactions_monthly"
@@ -34,30 +35,31 @@ ALL_TIME = "user_reactions"
 MAPPING = "user_mapping"
 MESSAGES = "messages"
 OFFSETS = "scan_offsets"
-COMMITS = "commits"
-
-_SCHEMAS = {
-    STATS: schemas.USER_STATS_MONTHLY,
-    EDGES: schemas.USER_REACTIONS_MONTHLY,
-    ALL_TIME: schemas.USER_REACTIONS,
-    MAPPING: schemas.USER_MAPPING,
-    MESSAGES: schemas.MESSAGES,
-    OFFSETS: schemas.SCAN_OFFSETS,
+
+# How the columns of each table are called in the facts.
+_NAMES = {
+    STATS: {"author_id": "a", "total_messages": "n", "total_reactions": "reactions"},
+    EDGES: {"giver_id": "a", "receiver_id": "b", "reaction_count": "n"},
+    ALL_TIME: {"giver_id": "a", "receiver_id": "b", "reaction_count": "n"},
+    MAPPING: {"author_id": "a", "username": "content", "last_updated": "ts"},
+    OFFSETS: {"channel_id": "a", "last_scanned": "ts"},
+    MESSAGES: {"id": "a", "author_id": "b", "reaction_count": "n", "fetched_at": "seen"}
+    | {c: c for c in ("content", "ts", "reply_to_id", "reply_to_author", "reply_to_content")},
 }
 _MONTHLY = {STATS, EDGES, MESSAGES}
-# Rows of a file are sorted by this column, so a search for few values skips row groups.
-_SORTED_BY = {STATS: "author_id", EDGES: "giver_id", ALL_TIME: "giver_id", MAPPING: "author_id", MESSAGES: "id"}
-_MONTH_FIELDS = [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
+_STORED = T.StructType([*schemas.FACTS.fields, *schemas.FACT_KEYS.fields])
 MESSAGE_COLUMNS = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
-_COMMIT = T.StructType(
-    [
-        T.StructField("table", T.StringType()),
-        T.StructField("batch", T.StringType()),
-        T.StructField("sequence", T.LongType()),
-        T.StructField("restart", T.BooleanType()),
-    ]
-)
-_LABEL = re.compile(r"[A-Za-z0-9_.\-]+")
+_BATCH = re.compile(r"[A-Za-z0-9_.\-]+")
+
+
+def as_facts(table: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of one table as facts, to be written with those of others."""
+    names = {stored: F.col(c) for c, stored in _NAMES[table].items() if c in rows.columns}
+    values = [names.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.FACTS.fields]
+    keys = [F.lit(0).alias("year"), F.lit(0).alias("month")]
+    if table in _MONTHLY:
+        keys = month_keys(F.col("ts")) if table == MESSAGES else [F.col("year"), F.col("month")]
+    return rows.select(*values, F.lit(table).alias("kind"), *keys)
 
 
 class Store:
@@ -65,115 +67,71 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root.rstrip("/")
+        self.facts = root.rstrip("/") + "/facts"
 
-    def create(self) -> Store:
-        """Create the commit table if it is not there yet."""
-        none = self.spark.createDataFrame([], _COMMIT)
-        none.write.mode("ignore").parquet(f"{self.root}/{COMMITS}")
-        return self
+    def write(self, facts: DataFrame, batch: str, **observed: Column) -> dict[str, int]:
+        """Write a batch of facts in one job; returns the ``observed`` aggregates of what was written."""
+        return self._write(facts, batch, self.facts, "dynamic", observed)
 
-    def reset(self) -> None:
-        """Empty the author months and the all-time reactions; all else stays."""
-        label = f"reset-{self._last_sequence() + 1}"
-        self.put_together({table: self._none(table) for table in (STATS, ALL_TIME)}, label, restart=True)
+    def put(self, table: str, rows: DataFrame, batch: str) -> None:
+        """Write ``rows`` as the batch's part of one table."""
+        self.write(as_facts(table, rows), batch)
 
-    def _none(self, table: str) -> DataFrame:
-        return self.spark.createDataFrame([], self._stored_schema(table))
+    def replace(self, tables: dict[str, DataFrame], batch: str) -> None:
+        """Replace all that ``tables`` hold; the rows may come from what they replace."""
+        if not _BATCH.fullmatch(batch):
+            raise ValueError(f"unusable batch name {batch!r}")
+        staged = {table: write_once(as_facts(table, rows), "staged") for table, rows in tables.items()}
+        for table, facts in staged.items():
+            self._write(facts.drop("kind"), batch, f"{self.facts}/kind={table}", "static", {})
 
     @staticmethod
-    def _stored_schema(table: str) -> T.StructType:
-        fields = list(_SCHEMAS[table].fields)
-        names = {f.name for f in fields}
-        if table in _MONTHLY:
-            fields += [f for f in _MONTH_FIELDS if f.name not in names]
-        return T.StructType([*fields, T.StructField("batch", T.StringType())])
-
-    def commits(self) -> DataFrame:
-        """(table, batch, sequence, restart) of what has been written completely."""
-        return self.spark.read.schema(_COMMIT).parquet(f"{self.root}/{COMMITS}")
-
-    def committed(self, table: str) -> dict[str, int]:
-        """Sequence number by label of the batches that count; compaction keeps them few."""
-        rows = self.commits().where(F.col("table") == table)
-        since = rows.where("restart").agg(F.coalesce(F.max("sequence"), F.lit(0))).scalar()
-        rows = rows.where(F.col("sequence") >= since).groupBy("batch")
-        return {r["batch"]: r["last"] for r in rows.agg(F.max("sequence").alias("last")).collect()}
-
-    def has_batch(self, table: str, label: str) -> bool:
-        """Whether the batch was ever committed, be it part of a compacted one since."""
-        return not self.commits().where((F.col("table") == table) & (F.col("batch") == label)).isEmpty()
+    def _write(facts: DataFrame, batch: str, path: str, mode: str, observed: dict[str, Column]) -> dict[str, int]:
+        if not _BATCH.fullmatch(batch):
+            raise ValueError(f"unusable batch name {batch!r}")
+        keys = [c for c in ("kind", "batch", "year", "month") if c in [*facts.columns, "batch"]]
+        # Few files per month, and several tasks for a month with many rows. What is observed comes
+        # after the last shuffle, where a repeated task counts once.
+        rows = facts.withColumn("batch", F.lit(batch)).hint("rebalance", *keys).sortWithinPartitions(*keys, "a")
+        seen = None
+        if observed:
+            seen = Observation()
+            rows = rows.observe(seen, *(c.alias(name) for name, c in observed.items()))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*keys).parquet(path)
+        return seen.get if seen else {}
 
     def batches(self, table: str) -> DataFrame:
-        """All committed rows as written, with their batch label."""
-        folders = [f"{self.root}/{table}/batch={label}" for label in sorted(self.committed(table))]
-        if not folders:
-            return self._none(table)
-        reader = self.spark.read.schema(self._stored_schema(table)).option("basePath", f"{self.root}/{table}")
-        return reader.parquet(*folders)
-
-    def put(self, table: str, rows: DataFrame, label: str, restart: bool = False) -> None:
-        """Write and commit ``rows`` as batch ``label``, replacing what it had."""
-        self.put_together({table: rows}, label, restart)
-
-    def put_together(self, parts: dict[str, DataFrame], label: str, restart: bool = False) -> None:
-        """Write one batch of several tables at the same time; all of it counts, or nothing.
-
-        With ``restart`` it replaces all that these tables hold. Its label must then be new,
-        since the rows may come from the batches it replaces.
-        """
-        if restart and any(self.has_batch(table, label) for table in parts):
-            raise ValueError(f"batch label {label!r} is in use")
-        with ThreadPoolExecutor(len(parts)) as pool:
-            list(pool.map(lambda table: self._write(table, parts[table], label), parts))
-        self._commit(list(parts), label, restart)
-
-    def _last_sequence(self) -> int:
-        return self.commits().agg(F.max("sequence")).first()[0] or 0
-
-    def _commit(self, names: list[str], label: str, restart: bool) -> None:
-        number = self._last_sequence() + 1
-        rows = self.spark.createDataFrame([(name, label, number, restart) for name in names], _COMMIT)
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{COMMITS}")
-
-    def _write(self, table: str, rows: DataFrame, label: str) -> None:
-        if not _LABEL.fullmatch(label):
-            raise ValueError(f"unusable batch label {label!r}")
-        columns = [f.name for f in _SCHEMAS[table].fields]
-        rows = rows.select(*columns)
-        if table == MESSAGES:
-            rows = rows.select("*", *month_keys(F.col("ts")))
-        keys = ["year", "month"] if table in _MONTHLY else []
-        # Few files per month, and several tasks for a month with many rows.
-        rows = rows.hint("rebalance", *keys)
-        if table in _SORTED_BY:
-            rows = rows.sortWithinPartitions(*keys, _SORTED_BY[table])
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.partitionBy(*keys).parquet(f"{self.root}/{table}/batch={label}")
+        """All rows as written, with their batch; monthly tables with year and month."""
+        try:
+            reader = self.spark.read.schema(_STORED).option("basePath", self.facts)
+            rows = reader.parquet(f"{self.facts}/kind={table}")
+        except AnalysisException:  # nothing written yet
+            rows = self.spark.createDataFrame([], _STORED)
+        months = ["year", "month"] if table in _MONTHLY else []
+        return rows.select(*(F.col(stored).alias(c) for c, stored in _NAMES[table].items()), *months, "batch")
+
+    def next_batch(self) -> str:
+        """A number for the next scheduled batch; the same again if that one is not written."""
+        numbers = self.batches(OFFSETS).where(F.col("batch").rlike("^[0-9]{8}$"))
+        last = numbers.agg(F.max("batch")).first()[0]
+        return f"{int(last or 0) + 1:08d}"
+
+    def reset(self) -> None:
+        """Empty the author months and the all-time reactions; all else stays."""
+        self.replace({table: self.batches(table).limit(0) for table in (STATS, ALL_TIME)}, "reset")
+
+    def _sums(self, table: str, *keys: str) -> DataFrame:
+        sums = [c for c, stored in _NAMES[table].items() if stored in ("n", "reactions")]
+        return self.batches(table).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
     def user_stats_monthly(self) -> DataFrame:
-        return (
-            self.batches(STATS)
-            .groupBy("author_id", "year", "month")
-            .agg(
-                F.sum("total_messages").alias("total_messages"),
-                F.sum("total_reactions").alias("total_reactions"),
-            )
-        )
+        return self._sums(STATS, "author_id", "year", "month")
 
     def user_reactions_monthly(self) -> DataFrame:
-        return (
-            self.batches(EDGES)
-            .groupBy("giver_id", "receiver_id", "year", "month")
-            .agg(F.sum("reaction_count").alias("reaction_count"))
-        )
+        return self._sums(EDGES, "giver_id", "receiver_id", "year", "month")
 
     def user_reactions(self) -> DataFrame:
-        return (
-            self.batches(ALL_TIME)
-            .groupBy("giver_id", "receiver_id")
-            .agg(F.sum("reaction_count").alias("reaction_count"))
-        )
+        return self._sums(ALL_TIME, "giver_id", "receiver_id")
 
     def user_mapping(self) -> DataFrame:
         return latest_usernames(self.batches(MAPPING))
@@ -184,7 +142,7 @@ class Store:
         ids: DataFrame | None = None,
         since: tuple[int, int] | None = None,
     ) -> DataFrame:
-        """One row per id; of an id in several batches the batch committed last counts.
+        """One row per id; of an id in several batches the copy fetched last counts.
 
         Ask for the ``columns`` needed only: the others are then not read. ``ids(id)``, a
         written table of a few rows, picks messages where they are read; ``since`` is the first
@@ -195,14 +153,12 @@ class Store:
             rows = rows.where(from_month(*since))
         if ids is not None:
             rows = rows.join(ids.select("id"), "id", "left_semi")
-        order = self.spark.createDataFrame(
-            sorted(self.committed(MESSAGES).items()), "batch string, sequence long"
-        )
-        last = F.max_by(F.struct(*columns), "sequence").alias("m")
-        return rows.join(order, "batch").groupBy("id").agg(last).select("id", "m.*")
+        order = F.struct("fetched_at", "batch").alias("order")
+        kept = dict.fromkeys(["id", *columns])
+        return newest_copies(rows.select(*kept, order), "order").select(*kept)
 
     def scan_offsets(self) -> DataFrame:
-        """Last scanned time per channel over all committed batches."""
+        """Last scanned time per channel over all batches."""
         return self.batches(OFFSETS).groupBy("channel_id").agg(F.max("last_scanned").alias("last_scanned"))
 
     def metadata(self) -> DataFrame:
@@ -220,16 +176,16 @@ class Store:
             EDGES: self.user_reactions_monthly(),
             ALL_TIME: self.user_reactions(),
             MAPPING: self.user_mapping(),
-            MESSAGES: self.messages(),
+            MESSAGES: self.messages([*MESSAGE_COLUMNS, "fetched_at"]),
             OFFSETS: self.scan_offsets(),
         }
 
-    def compact(self, label: str) -> None:
-        """Add all batches up into one, in place; ingest goes on behind it."""
-        self.put_together(self._summed(), label, restart=True)
+    def compact(self) -> None:
+        """Add all batches up into one, in place, under the number of the last; ingest goes on behind it."""
+        self.replace(self._summed(), f"{int(self.next_batch()) - 1:08d}")
 
-    def compacted(self, root: str, label: str) -> Store:
+    def compacted(self, root: str) -> Store:
         """A copy with all batches added up into one, at another root, to go on with."""
-        copy = Store(self.spark, root).create()
-        copy.put_together(self._summed(), label)
+        copy = Store(self.spark, root)
+        copy.replace(self._summed(), f"{int(self.next_batch()) - 1:08d}")
         return copy

@@ -7,6 +7,8 @@ both write the same tables through :func:`write_facts`.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,50 +23,60 @@ from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
 
 
+# Tags of the counts and the tables they belong to.
+_TABLES = {"stats": tables.STATS, "edges": tables.EDGES, "all_time": tables.ALL_TIME}
+
+
 def _utc(time: dt.datetime) -> dt.datetime:
     if time.tzinfo is None:
         raise ValueError("the time needs a time zone")
     return time.astimezone(dt.timezone.utc)
 
 
+class Ingested(NamedTuple):
+    """What a batch wrote: its name, and its quality messages with their reactions."""
+
+    batch: str
+    total_messages: int
+    total_reactions: int
+
+
 def write_facts(
     messages: DataFrame,
     store: Store,
-    label: str,
+    batch: str,
     self_id: int | None = None,
-    offsets: DataFrame | None = None,
+    offsets: Callable[[DataFrame], DataFrame] | None = None,
     originals: DataFrame | None = None,
-) -> None:
-    """Counts, reaction edges, quality messages and offsets of one batch, committed together.
-
-    ``messages`` holds one row per id. It is read once; what the tables need of it is written
-    to an intermediate table, and the tables are made from that at the same time. With
-    ``originals``, messages carry ``reply_to_id`` in place of ``reference``, and quality messages
-    look up there what they reply to.
+) -> Ingested:
+    """Counts, reaction edges, quality messages and offsets of one batch, written by one job.
+
+    ``messages`` may hold several copies of an id; the newest counts. It is read once: what the
+    tables need of it is written to an intermediate table, and all else comes from that.
+    ``offsets`` makes the channels' offsets from the message facts. With ``originals``, messages
+    carry ``reply_to_id`` in place of ``reference``, and quality messages look up there what they
+    reply to. The totals are observed while the batch is written.
     """
-    counted = facts.counted_messages(messages, self_id)
     reply = "reference" if originals is None else "reply_to_id"
-    narrow = write_once(facts.message_facts(counted, reply), "message-facts")
-    quality = narrow.where("quality is not null").select("quality.*")
+    seen = write_once(facts.message_facts(messages, self_id, reply), "message-facts")
+    newest = facts.newest_copies(seen)
+    quality = newest.where("quality is not null").select("quality.*")
     if originals is not None:
         quality = write_once(quality, "quality")
         quality = facts.resolve_references(quality, facts.originals_of(quality, originals))
-    counts = narrow.select("author_id", "reaction_count", F.col("created_at").alias("ts"))
-    events = narrow.select(
-        F.explode("givers").alias("giver_id"), F.col("author_id").alias("receiver_id"), "created_at"
-    )
-    edges = write_once(facts.reaction_months(events), "edges")
-    batch = {
-        tables.STATS: facts.author_months_from_counts(counts),
-        tables.EDGES: edges,
-        tables.ALL_TIME: facts.all_time_reactions(edges),
-        tables.MESSAGES: quality.select(
-            "id", "content", "ts", "reaction_count", "author_id", *facts.reply_columns(F.col("reference"))
-        ),
-    }
+    quality = quality.select("*", *facts.reply_columns(F.col("reference")))
+    counts = facts.tagged_counts(newest).replace(_TABLES, subset=["tag"]).withColumnRenamed("tag", "kind")
+    rows = counts.unionByName(tables.as_facts(tables.MESSAGES, quality), allowMissingColumns=True)
     if offsets is not None:
-        batch[tables.OFFSETS] = offsets
-    store.put_together(batch, label)
+        rows = rows.unionByName(tables.as_facts(tables.OFFSETS, offsets(seen)))
+    of_quality = F.col("kind") == tables.MESSAGES
+    totals = store.write(
+        rows,
+        batch,
+        total_messages=F.count_if(of_quality),
+        total_reactions=F.coalesce(F.sum(F.when(of_quality, F.col("n"))), F.lit(0)),
+    )
+    return Ingested(batch, totals["total_messages"], totals["total_reactions"])
 
 
 def ingest_increment(
@@ -74,22 +86,18 @@ def ingest_increment(
     as_of: dt.datetime,
     self_id: int | None = None,
     originals: DataFrame | None = None,
-) -> str:
-    """Ingest what became a day old since the last run; returns the batch label.
+) -> Ingested:
+    """Ingest what became a day old since the last run.
 
-    The label is the cutoff time. A run that failed half-way has no commit record, so nothing
-    it wrote is read, and the next run, with the same or a later ``as_of``, starts from the
-    offsets committed before it. A run whose label is committed already does nothing, and one
-    for an earlier time than the last finds nothing beyond the offsets.
+    Batches are numbered; a batch and the offsets it reaches are written by one job. So after a run
+    that failed, the next one, with the same or a later ``as_of``, starts from the same offsets and
+    has the same number: it replaces what the failed one may have left. A repeated run, or one for
+    an earlier time than the last, finds nothing beyond the offsets.
     """
     cutoff = _utc(as_of) - dt.timedelta(days=1)
-    label = cutoff.strftime("%Y%m%dT%H%M%S.%f")
-    if store.has_batch(tables.OFFSETS, label):
-        return label
     scanned = facts.unscanned(raw, channels, store.scan_offsets(), cutoff)
-    offsets = facts.next_offsets(scanned, channels, cutoff)
-    write_facts(facts.newest_copies(scanned), store, label, self_id, offsets, originals)
-    return label
+    offsets = lambda seen: facts.next_offsets(seen, channels, cutoff)
+    return write_facts(scanned, store, store.next_batch(), self_id, offsets, originals)
 
 
 def refresh_usernames(members: DataFrame, store: Store, as_of: dt.datetime) -> str | None:
@@ -106,7 +114,7 @@ def refresh_usernames(members: DataFrame, store: Store, as_of: dt.datetime) -> s
         return None
     known = store.batches(tables.MAPPING).drop("batch")
     snapshot = latest_usernames(known.unionByName(cleaned_usernames(members, as_of)))
-    store.put(tables.MAPPING, snapshot, label, restart=True)
+    store.replace({tables.MAPPING: snapshot}, label)
     return label
 
 
@@ -122,7 +130,7 @@ def repopulate(raw: DataFrame, channels: DataFrame, store: Store, as_of: dt.date
     readable = join_dimension(raw, done, "channel_id", "id")
     readable = readable.where(F.col("created_at") <= F.col("last_scanned")).drop("last_scanned")
     stats, edges = facts.repopulated(facts.newest_copies(readable))
-    store.put_together({tables.STATS: stats, tables.EDGES: edges}, label, restart=True)
+    store.replace({tables.STATS: stats, tables.EDGES: edges}, label)
     return label
 
 
@@ -152,31 +160,30 @@ def start_stream(
     name: str,
     self_id: int | None = None,
     every: str | None = None,
-    state_partitions: int | None = None,
     channels: DataFrame | None = None,
+    on_batch: Callable[[Ingested], None] | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of raw messages; without ``every``, what is available now.
 
-    ``state_partitions`` is how many parts the held messages are kept in, by default the
-    session's shuffle partitions. It cannot change during the life of a checkpoint.
-
-    With ``channels``, messages of channels that can't be read are left out.
+    The held messages are kept in as many parts as the session of ``stream`` has shuffle
+    partitions, which cannot change during the life of a checkpoint; ``stream_session`` makes a
+    session for that. With ``channels``, messages of channels that can't be read are left out.
+    ``on_batch`` is told what each micro-batch wrote.
 
-    Micro-batches are labelled by stream name and batch id. A replayed micro-batch has
-    the same rows and the same id: if it is committed it is passed over, else it replaces
-    what it left, so each message counts exactly once. The last message of each channel is
-    written as its offset, so scheduled runs go on from there. A stream that starts over with
-    a new checkpoint needs a new name.
+    Micro-batches are named by stream name and batch id. A replayed micro-batch has the same rows
+    and the same id and replaces what it left, so each message counts exactly once. The last message
+    of each channel is written as its offset, so scheduled runs go on from there. A stream that
+    starts over with a new checkpoint needs a new name.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        label = f"{name}-{batch_id:012d}"
-        if store.has_batch(tables.OFFSETS, label):
-            return
         if channels is not None:
             batch = join_dimension(batch, facts.readable_channels(channels), "channel_id", "id")
-        offsets = batch.groupBy("channel_id").agg(F.max("created_at").alias("last_scanned"))
-        write_facts(batch, store, label, self_id, offsets)
+        last = F.max("created_at").alias("last_scanned")
+        offsets = lambda seen: seen.groupBy("channel_id").agg(last)
+        done = write_facts(batch, store, f"{name}-{batch_id:012d}", self_id, offsets)
+        if on_batch is not None:
+            on_batch(done)
 
     writer = (
         settled_messages(stream)
@@ -186,11 +193,4 @@ def start_stream(
         .foreachBatch(write)
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    # A query takes over the session's settings when it starts.
-    conf = stream.sparkSession.conf
-    session_partitions = conf.get("spark.sql.shuffle.partitions")
-    conf.set("spark.sql.shuffle.partitions", str(state_partitions or session_partitions))
-    try:
-        return writer.trigger(**trigger).start()
-    finally:
-        conf.set("spark.sql.shuffle.partitions", session_partitions)
+    return writer.trigger(**trigger).start()

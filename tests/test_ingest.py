@@ -189,9 +189,9 @@ def contents(store):
 
 def test_increments_equal_one_run_and_repeat_safely(spark, tmp_path, channels):
     data = history(spark)
-    once = Store(spark, str(tmp_path / "once")).create()
+    once = Store(spark, str(tmp_path / "once"))
     ingest.ingest_increment(data, channels, once, at(30))
-    steps = Store(spark, str(tmp_path / "steps")).create()
+    steps = Store(spark, str(tmp_path / "steps"))
     for day in (8, 15, 15, 30):
         ingest.ingest_increment(data, channels, steps, at(day))
     assert contents(once) == contents(steps)
@@ -201,49 +201,65 @@ def test_increments_equal_one_run_and_repeat_safely(spark, tmp_path, channels):
 
 
 @pytest.mark.parametrize("next_run", [30, 31])
-def test_a_failed_run_counts_nothing(spark, tmp_path, channels, monkeypatch, next_run):
+def test_a_failed_run_is_replaced(spark, tmp_path, channels, monkeypatch, next_run):
     """The run dies when its counts are written; it is repeated, or the next day's run follows."""
     data = history(spark)
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     ingest.ingest_increment(data, channels, store, at(8))
-    before = contents(store)
-    commit = Store._commit
 
-    def failing(self, names, label, restart):
+    def failing(self, rows, batch, **observed):
+        """The counts become visible, the offsets don't."""
+        Store._write(rows.where(F.col("kind") != tables.OFFSETS), batch, self.facts, "dynamic", {})
         raise OSError("lost")
 
-    monkeypatch.setattr(Store, "_commit", failing)
-    with pytest.raises(OSError):
-        ingest.ingest_increment(data, channels, store, at(30))
-    monkeypatch.setattr(Store, "_commit", commit)
-    assert contents(store) == before
+    with monkeypatch.context() as broken:
+        broken.setattr(Store, "write", failing)
+        with pytest.raises(OSError):
+            ingest.ingest_increment(data, channels, store, at(30))
     ingest.ingest_increment(data, channels, store, at(next_run))
-    once = Store(spark, str(tmp_path / "once")).create()
+    once = Store(spark, str(tmp_path / "once"))
     ingest.ingest_increment(data, channels, once, at(30))
     assert contents(store) == contents(once)
 
 
 def test_order_and_compaction_do_not_matter(spark, tmp_path, channels):
     data = history(spark)
-    once = Store(spark, str(tmp_path / "once")).create()
+    once = Store(spark, str(tmp_path / "once"))
     ingest.ingest_increment(data, channels, once, at(30))
-    mixed = Store(spark, str(tmp_path / "mixed")).create()
+    mixed = Store(spark, str(tmp_path / "mixed"))
     for day in (8, 30, 15):
         ingest.ingest_increment(data, channels, mixed, at(day))
     assert contents(mixed) == contents(once)
-    first = Store(spark, str(tmp_path / "first")).create()
+    first = Store(spark, str(tmp_path / "first"))
     ingest.ingest_increment(data, channels, first, at(15))
-    compact = first.compacted(str(tmp_path / "compact"), "compact-1")
+    compact = first.compacted(str(tmp_path / "compact"))
     ingest.ingest_increment(data, channels, compact, at(30))
     assert contents(compact) == contents(once)
-    first.compact("compact-1")
-    assert set(first.committed(tables.STATS)) == {"compact-1"}
-    # The label from before the compaction is still known, so a repeated run does nothing.
+    ingest.ingest_increment(data, channels, first, at(16))
+    first.compact()
+    assert {r.batch for r in first.batches(tables.STATS).collect()} == {"00000002"}
+    # A repeated run finds nothing.
     ingest.ingest_increment(data, channels, first, at(15))
     ingest.ingest_increment(data, channels, first, at(30))
     assert contents(first) == contents(once)
-    with pytest.raises(ValueError):
-        first.compact("compact-1")
+
+
+def test_raw_messages_are_read_once(spark, tmp_path, channels):
+    """An increment evaluates its input a single time, and totals come from the write."""
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            evaluated.add(batch.num_rows)
+            yield batch
+
+    data = history(spark)
+    watched = data.mapInArrow(count, data.schema)
+    store = Store(spark, str(tmp_path / "store"))
+    done = ingest.ingest_increment(watched, channels, store, at(30))
+    assert evaluated.value == data.count()
+    assert (done.total_messages, done.total_reactions) == tuple(facts.ingest_totals(data).first())
+    assert done.batch == "00000001"
 
 
 def test_replies_are_looked_up_for_quality_messages(spark, tmp_path, channels):
@@ -258,7 +274,7 @@ def test_replies_are_looked_up_for_quality_messages(spark, tmp_path, channels):
     plain = raw(spark, *rows)
     replies = F.when(F.col("id") == 2, 1).when(F.col("id") == 3, 99).cast("bigint")
     data = plain.drop("reference").withColumn("reply_to_id", replies)
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     ingest.ingest_increment(data, channels, store, at(30), originals=data)
     got = store.messages().orderBy("id").collect()
     assert [(r.id, r.reply_to_author, r.reply_to_content) for r in got] == [
@@ -273,7 +289,11 @@ def test_newest_copies_shuffle_ids_only(spark):
     data = raw(spark, message(1), message(1, fetched=at(9)), message(2))
     plan = facts.newest_copies(data.where("id = 2"))._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Exchange" not in plan
-    assert facts.newest_copies(data).count() == 2
+    some = facts.newest_copies(data)
+    assert some.count() == 2 and some.where("id = 1").first().fetched_at.day == 9
+    assert "Aggregate" not in some._jdf.queryExecution().executedPlan().toString()
+    alike = raw(spark, message(1), message(1), message(1, fetched=at(4)), message(2), message(2, fetched=at(9)))
+    assert sorted(r.id for r in facts.newest_copies(alike).collect()) == [1, 2]
 
 
 def test_repopulate_replaces_what_was_ingested(spark, tmp_path, channels):
@@ -284,7 +304,7 @@ def test_repopulate_replaces_what_was_ingested(spark, tmp_path, channels):
         message(3, created=at(20), reactions=FOUR),
         message(4, channel=2, reactions=FOUR),
     )
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     ingest.ingest_increment(data, channels, store, at(10))
     ingest.repopulate(data, channels, store, at(11))
     assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 1, 1, 4)]
@@ -295,7 +315,7 @@ def test_repopulate_replaces_what_was_ingested(spark, tmp_path, channels):
 
 
 def test_usernames_are_refreshed_once_a_day(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     kind = "id long, display_name string, bot boolean"
     first = spark.createDataFrame([(1, "a", False), (2, "b", False)], kind)
     later = spark.createDataFrame([(1, "c", False)], kind)
@@ -303,7 +323,7 @@ def test_usernames_are_refreshed_once_a_day(spark, tmp_path):
     assert ingest.refresh_usernames(later, store, at(6, 11)) is None
     assert ingest.refresh_usernames(later, store, at(6, 12))
     assert {(r.author_id, r.username) for r in store.user_mapping().collect()} == {(1, "c"), (2, "b")}
-    assert len(store.committed(tables.MAPPING)) == 1
+    assert store.batches(tables.MAPPING).select("batch").distinct().count() == 1
 
 
 def test_months_are_utc_in_any_session(spark, tmp_path, channels):
@@ -311,7 +331,7 @@ def test_months_are_utc_in_any_session(spark, tmp_path, channels):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
-        store = Store(spark, str(tmp_path / "store")).create()
+        store = Store(spark, str(tmp_path / "store"))
         ingest.ingest_increment(data, channels, store, dt.datetime(2024, 2, 9, tzinfo=UTC))
         assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 2, 1, 4)]
         assert {(r.year, r.month) for r in store.batches(tables.MESSAGES).collect()} == {(2024, 2)}
@@ -333,7 +353,7 @@ def run_stream(spark, tmp_path, store, **options):
 
 
 def test_stream_holds_counts_once_and_restarts(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     landing = tmp_path / "landing"
     land(
         spark,
@@ -361,7 +381,7 @@ def test_stream_holds_counts_once_and_restarts(spark, tmp_path):
 
 
 def test_stream_leaves_out_channels_and_writes_offsets(spark, tmp_path, channels):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     landing = tmp_path / "landing"
     land(spark, landing, message(1, created=at(5, 10)), message(2, channel=3, created=at(5, 10)), message(3, created=at(9)))
     run_stream(spark, tmp_path, store, channels=channels)
@@ -377,7 +397,7 @@ def test_stream_leaves_out_channels_and_writes_offsets(spark, tmp_path, channels
 
 
 def test_replayed_micro_batch_counts_once(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     data = raw(spark, message(1, reactions=FOUR), message(2, author=2))
     for _ in range(2):
         ingest.write_facts(data, store, "chat-000000000003")
@@ -390,7 +410,7 @@ def test_replayed_micro_batch_counts_once(spark, tmp_path):
 
 
 def test_all_reports_over_a_store(spark, tmp_path, channels):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     authors = [10, 11, 13, 14, 15]
     users = [(a, False) for a in authors]
     data = raw(

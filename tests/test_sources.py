@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agorametrics.operators.sampling import random_quote, random_row
 from agorametrics.sources import store as tables
+from agorametrics.schemas import MESSAGES, USER_MAPPING
 from agorametrics.sources import quotes
 from agorametrics.sources.quotes import read_quotes
 from agorametrics.sources.store import Store
@@ -100,30 +101,30 @@ STATS = "author_id long, year int, month int, total_messages long, total_reactio
 
 
 def test_batches_add_up_and_replace(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     assert store.user_stats_monthly().collect() == []
     store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5), (2, 2023, 12, 1, 0)], STATS), "a")
     store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 9, 9)], STATS), "b")
     store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 3, 1)], STATS), "b")
-    store.create()
     rows = {tuple(r) for r in store.user_stats_monthly().collect()}
     assert rows == {(1, 2024, 1, 5, 6), (2, 2023, 12, 1, 0)}
 
 
 def test_month_filter_prunes_folders(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), "a")
     plan = store.user_stats_monthly().where("year = 2024 AND month = 1")
     text = plan._jdf.queryExecution().toString()
     pruned = text.split("PartitionFilters")[1]
     assert "isnotnull(year" in pruned and "(month#" in pruned
-    # Only the folder of the batch that counts is listed.
-    store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 9, 9)], STATS), "b", restart=True)
+    # What is replaced is gone, also where the new rows come from the old.
+    store.replace({tables.STATS: store.user_stats_monthly().where("year = 2024")}, "b")
     assert all("batch=b" in file for file in store.batches(tables.STATS).inputFiles())
+    assert store.user_stats_monthly().count() == 1
 
 
 def test_reset_empties_two_tables(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), "a")
     edges = spark.createDataFrame([(1, 2, 2024, 1, 4)], "giver_id long, receiver_id long, year int, month int, reaction_count long")
     store.put(tables.EDGES, edges, "a")
@@ -134,18 +135,22 @@ def test_reset_empties_two_tables(spark, tmp_path):
     assert store.user_reactions_monthly().count() == 1
 
 
-def test_messages_last_batch_wins(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+def test_messages_fetched_last_win(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
     row = (5, "old text", dt.datetime(2024, 1, 2), 4, 1, None, None, None)
-    kind = tables._SCHEMAS[tables.MESSAGES]
-    store.put(tables.MESSAGES, spark.createDataFrame([row], kind), "b")
-    store.put(tables.MESSAGES, spark.createDataFrame([(5, "new text", *row[2:])], kind), "a")
+    kind = MESSAGES.add("fetched_at", "timestamp")
+    days = [dt.datetime(2024, 1, d) for d in (3, 4)]
+    store.put(tables.MESSAGES, spark.createDataFrame([(*row, days[0])], kind), "b")
+    store.put(tables.MESSAGES, spark.createDataFrame([(5, "new text", *row[2:], days[1])], kind), "a")
     assert [(r.id, r.content) for r in store.messages().collect()] == [(5, "new text")]
+    # Fetched at the same time: the later batch.
+    store.put(tables.MESSAGES, spark.createDataFrame([(5, "newest", *row[2:], days[1])], kind), "c")
+    assert [(r.id, r.content) for r in store.messages(["content"]).collect()] == [(5, "newest")]
 
 
 def test_mapping_last_write_wins(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
-    kind = tables._SCHEMAS[tables.MAPPING]
+    store = Store(spark, str(tmp_path / "store"))
+    kind = USER_MAPPING
     day = dt.datetime(2024, 1, 1)
     store.put(tables.MAPPING, spark.createDataFrame([(1, "a", day), (2, "b", day)], kind), "1")
     store.put(tables.MAPPING, spark.createDataFrame([(1, "c", day + dt.timedelta(1))], kind), "2")
@@ -153,22 +158,22 @@ def test_mapping_last_write_wins(spark, tmp_path):
 
 
 def test_compacted_copy_is_equal(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     for label in ("a", "b"):
         store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), label)
-    copy = store.compacted(str(tmp_path / "copy"), "all")
+    copy = store.compacted(str(tmp_path / "copy"))
     assert [tuple(r) for r in copy.user_stats_monthly().collect()] == [(1, 2024, 1, 4, 10)]
-    assert copy.batches(tables.STATS).select("batch").distinct().collect()[0].batch == "all"
+    assert copy.batches(tables.STATS).select("batch").distinct().collect()[0].batch == "00000000"
 
 
 def test_label_is_checked(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     with pytest.raises(ValueError):
         store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), "../x")
 
 
 def test_newest_offset_whatever_the_label(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store")).create()
+    store = Store(spark, str(tmp_path / "store"))
     kind = "channel_id long, last_scanned timestamp"
     first, second = dt.datetime(2024, 1, 1, tzinfo=UTC), dt.datetime(2024, 2, 1, tzinfo=UTC)
     store.put(tables.OFFSETS, spark.createDataFrame([(1, first)], kind), "z")

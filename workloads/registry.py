@@ -26,6 +26,7 @@ from agorametrics.operators import (
 )
 from agorametrics.operators import members as people
 from agorametrics.plans.tables import new_folder, write_once
+from agorametrics.session import stream_session
 from agorametrics.sources import quotes
 from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
@@ -233,11 +234,16 @@ def repopulated_reactions(spark, sf):
 # --- stored tables, filled by two scheduled increments -----------------------------
 
 
+DAYS = (dt.datetime(2024, 1, 17, tzinfo=UTC), dt.datetime(2024, 2, 2, tzinfo=UTC))
+
+
+def _two_days(spark: SparkSession, sf: str) -> tuple[Store, list[ingest.Ingested]]:
+    raw, channels, store = _raw_and_store(spark, sf)
+    return store, [ingest.ingest_increment(raw, channels, store, day, given.SELF_ID, raw) for day in DAYS]
+
+
 def ingested(spark: SparkSession, sf: str) -> Store:
-    raw, channels, store = _raw_and_days(spark, sf)
-    for day in (dt.datetime(2024, 1, 17, tzinfo=UTC), dt.datetime(2024, 2, 2, tzinfo=UTC)):
-        ingest.ingest_increment(raw, channels, store, day, given.SELF_ID, raw)
-    return store
+    return _two_days(spark, sf)[0]
 
 
 _SCANNED_STATS = """SELECT author_id, CAST(year(created_at) AS INTEGER) AS year,
@@ -259,26 +265,25 @@ def ingest_stats(spark, sf):
     return ingested(spark, sf).user_stats_monthly()
 
 
-def _raw_and_days(spark: SparkSession, sf: str):
+def _raw_and_store(spark: SparkSession, sf: str):
     raw = given.replying_messages(spark, sf)
-    return raw, given.channels(spark, sf), Store(spark, new_folder(spark, "store")).create()
+    return raw, given.channels(spark, sf), Store(spark, new_folder(spark, "store"))
 
 
 @query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
 def ingest_after_crash(spark, sf):
-    """A run writes its counts and dies before the commit; the next day's run goes on."""
-    raw, channels, store = _raw_and_days(spark, sf)
-    first = dt.datetime(2024, 1, 17, tzinfo=UTC)
-    scanned = facts.unscanned(raw, channels, store.scan_offsets(), first - dt.timedelta(days=1))
+    """A run leaves its counts without the offsets behind them; the next day's run goes on."""
+    raw, channels, store = _raw_and_store(spark, sf)
+    scanned = facts.unscanned(raw, channels, store.scan_offsets(), DAYS[0] - dt.timedelta(days=1))
     counted = facts.counted_messages(facts.newest_copies(scanned), given.SELF_ID)
-    store._write(tables.STATS, facts.author_months(counted), "20240116T000000.000000")
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID, raw)
+    store.put(tables.STATS, facts.author_months(counted), store.next_batch())
+    ingest.ingest_increment(raw, channels, store, DAYS[1], given.SELF_ID, raw)
     return store.user_stats_monthly()
 
 
 @query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
 def ingest_out_of_order(spark, sf):
-    raw, channels, store = _raw_and_days(spark, sf)
+    raw, channels, store = _raw_and_store(spark, sf)
     for month, day in ((1, 8), (2, 2), (1, 17)):
         as_of = dt.datetime(2024, month, day, tzinfo=UTC)
         ingest.ingest_increment(raw, channels, store, as_of, given.SELF_ID, raw)
@@ -287,19 +292,19 @@ def ingest_out_of_order(spark, sf):
 
 @query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
 def ingest_after_compaction(spark, sf):
-    raw, channels, store = _raw_and_days(spark, sf)
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 1, 17, tzinfo=UTC), given.SELF_ID, raw)
-    store = store.compacted(new_folder(spark, "store"), "compact-1")
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID, raw)
+    raw, channels, store = _raw_and_store(spark, sf)
+    ingest.ingest_increment(raw, channels, store, DAYS[0], given.SELF_ID, raw)
+    store = store.compacted(new_folder(spark, "store"))
+    ingest.ingest_increment(raw, channels, store, DAYS[1], given.SELF_ID, raw)
     return store.user_stats_monthly()
 
 
 @query(with_ctes("scanned", _SCANNED_STATS.format("scanned")))
 def ingest_compacted_in_place(spark, sf):
-    raw, channels, store = _raw_and_days(spark, sf)
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 1, 17, tzinfo=UTC), given.SELF_ID, raw)
-    store.compact("compact-1")
-    ingest.ingest_increment(raw, channels, store, dt.datetime(2024, 2, 2, tzinfo=UTC), given.SELF_ID, raw)
+    raw, channels, store = _raw_and_store(spark, sf)
+    ingest.ingest_increment(raw, channels, store, DAYS[0], given.SELF_ID, raw)
+    store.compact()
+    ingest.ingest_increment(raw, channels, store, DAYS[1], given.SELF_ID, raw)
     return store.user_stats_monthly()
 
 
@@ -388,12 +393,10 @@ def metadata(spark, sf):
     )
 )
 def ingest_totals(spark, sf):
-    raw = given.unresolved_messages(spark, sf)
-    channels = facts.readable_channels(given.channels(spark, sf))
-    scanned = raw.join(channels, "channel_id").where(
-        F.col("created_at") < F.lit(dt.datetime(2024, 2, 1, tzinfo=UTC))
-    )
-    return facts.ingest_totals(facts.counted_messages(scanned, given.SELF_ID))
+    """Observed while the two increments are written."""
+    _, runs = _two_days(spark, sf)
+    totals = (sum(r.total_messages for r in runs), sum(r.total_reactions for r in runs))
+    return spark.createDataFrame([totals], "total_messages long, total_reactions long")
 
 
 @query(
@@ -422,18 +425,18 @@ def reset_stats(spark, sf):
 
 
 def streamed(spark: SparkSession, sf: str) -> Store:
-    store = Store(spark, new_folder(spark, "stream-store")).create()
+    root = new_folder(spark, "stream-store")
+    session = stream_session(spark, spark.sparkContext.defaultParallelism)
     stream = ingest.start_stream(
-        given.raw_stream(spark, sf),
-        store,
+        given.raw_stream(session, sf),
+        Store(session, root),
         new_folder(spark, "stream-checkpoint"),
         name="events",
         self_id=given.SELF_ID,
-        state_partitions=spark.sparkContext.defaultParallelism,
-        channels=given.channels(spark, sf),
+        channels=given.channels(session, sf),
     )
     stream.awaitTermination()
-    return store
+    return Store(spark, root)
 
 
 @query(with_ctes("settled", _SCANNED_STATS.format("settled")))
