@@ -37,6 +37,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from agorametrics.sources.files import file_system, make_known
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORMAT = "yaml_quotes"
@@ -57,17 +59,9 @@ def _parse(content: bytes) -> tuple[list[str], str | None]:
     return [str(quote) for quote in quotes], None
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 def _files(path: str) -> list[str]:
     """The files at ``path``: itself, those directly in a folder, or those that a glob names."""
-    system, inner = _file_system(path)
+    system, inner = file_system(path)
     folder, name = posixpath.split(inner.rstrip("/"))
     if any(c in name for c in "*?["):
         found = system.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
@@ -82,7 +76,7 @@ def _files(path: str) -> list[str]:
 
 
 def _read_file(path: str, name: str) -> list[str]:
-    system, _ = _file_system(path)
+    system, _ = file_system(path)
     with system.open_input_stream(name) as stream:
         quotes, problem = _parse(stream.read())
     if problem:
@@ -117,12 +111,12 @@ class QuoteWriter(DataSourceWriter):
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
-        system, folder = _file_system(path)
+        system, folder = file_system(path)
         system.create_dir(folder, recursive=True)
         self.old = _files(path) if overwrite else []
 
     def write(self, rows: Iterator) -> Written:
-        system, folder = _file_system(self.path)
+        system, folder = file_system(self.path)
         name = f"part-{uuid.uuid4().hex}{SUFFIX}"
         hidden, some = f"{folder}/_{name}", False
         with system.open_output_stream(hidden) as stream:
@@ -137,7 +131,7 @@ class QuoteWriter(DataSourceWriter):
         return Written(None, None)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         for done in messages:
             if done and done.hidden:
                 system.move(done.hidden, done.name)
@@ -145,7 +139,7 @@ class QuoteWriter(DataSourceWriter):
             system.delete_file(name)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         for done in messages:
             if done and done.hidden:
                 system.delete_file(done.hidden)
@@ -179,7 +173,7 @@ class QuoteSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the format known to the session."""
-    spark.dataSource.register(QuoteSource)
+    make_known(spark, QuoteSource)
 
 
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

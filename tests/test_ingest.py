@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agorametrics.community import Community
 from agorametrics.operators import facts
 from agorametrics.schemas import CHANNELS, RAW_MESSAGES
+from agorametrics.sources import history as channel_history
 from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
 from agorametrics.streaming import ingest
@@ -396,6 +397,62 @@ def test_stream_leaves_out_channels_and_writes_offsets(spark, tmp_path, channels
     assert [tuple(r) for r in store.user_stats_monthly().collect()] == [(1, 2024, 1, 3, 0)]
 
 
+def replay(spark, folder, store, checkpoint, **options):
+    """One run of a stream over a history, with all that is there."""
+    channel_history.register(spark)
+    stream = spark.readStream.format(channel_history.FORMAT).schema(RAW_MESSAGES).load(str(folder))
+    query = ingest.start_stream(stream, store, str(checkpoint), name="history", every="0 seconds", **options)
+    query.processAllAvailable()
+    query.stop()
+
+
+def test_channel_history_restarts_behind_each_channel(spark, tmp_path):
+    folder, store = tmp_path / "history", Store(spark, str(tmp_path / "store"))
+    batches = []
+    first = raw(spark, message(1, created=at(5, 10), reactions=FOUR), message(2, author=2, channel=2, created=at(6, 9)))
+    channel_history.write_history(first, str(folder))
+    replay(spark, folder, store, tmp_path / "checkpoint", on_batch=batches.append)
+    assert store.user_stats_monthly().collect() == []
+    more = raw(spark, message(3, author=3, channel=3, created=at(9, 9)), message(4, channel=2, author=2, created=at(8, 1)))
+    channel_history.write_history(more, str(folder))
+    replay(spark, folder, store, tmp_path / "checkpoint", on_batch=batches.append)
+    replay(spark, folder, store, tmp_path / "checkpoint", on_batch=batches.append)
+    assert {tuple(r) for r in store.user_stats_monthly().collect()} == {(1, 2024, 1, 1, 4), (2, 2024, 1, 2, 0)}
+    assert sum(b.total_messages for b in batches) == 1 and sum(b.total_reactions for b in batches) == 4
+
+
+def test_channel_history_offsets_and_replay(spark, tmp_path):
+    """An offset range gives the same rows whenever it is read, and later files don't change it."""
+    folder = str(tmp_path / "history")
+    rows = [message(i, channel=1 + i % 3, created=at(1 + i % 20, i % 24, i % 60), reactions=FOUR) for i in range(90)]
+    channel_history.write_history(raw(spark, *rows[:60]), folder)
+    reader = channel_history.HistoryReader(folder, RAW_MESSAGES)
+    assert reader.initialOffset() == {}
+    end = reader.latestOffset()
+    assert sorted(end) == ["1", "2", "3"]
+
+    def ids(start, end):
+        return sorted(i for s in reader.partitions(start, end) for b in reader.read(s) for i in b.column("id").to_pylist())
+
+    assert ids({}, end) == list(range(60))
+    channel_history.write_history(raw(spark, *(message(i, channel=1 + i % 3, created=at(25, 1, i % 60)) for i in range(60, 90))), folder)
+    assert ids({}, end) == list(range(60)) and ids(end, end) == []
+    later = reader.latestOffset()
+    assert ids(end, later) == list(range(60, 90)) and ids({}, later) == list(range(90))
+    assert channel_history.HistoryReader(str(tmp_path / "none"), RAW_MESSAGES).latestOffset() == {}
+
+
+def test_channel_history_keeps_all_columns(spark, tmp_path):
+    rows = [message(1, reactions=FOUR, reference=(7, False, "bo", "hello")), message(2, content=None, bot=True)]
+    data, folder = raw(spark, *rows), str(tmp_path / "history")
+    channel_history.write_history(data, folder)
+    channel_history.register(spark)
+    out = str(tmp_path / "out")
+    query = spark.readStream.format(channel_history.FORMAT).load(folder).writeStream.format("parquet")
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+    assert sorted(map(str, spark.read.schema(RAW_MESSAGES).parquet(out).collect())) == sorted(map(str, data.collect()))
+
+
 def test_replayed_micro_batch_counts_once(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     data = raw(spark, message(1, reactions=FOUR), message(2, author=2))

@@ -27,7 +27,7 @@ from agorametrics.operators import (
 from agorametrics.operators import members as people
 from agorametrics.plans.tables import new_folder, write_once
 from agorametrics.session import stream_session
-from agorametrics.sources import quotes
+from agorametrics.sources import history, quotes
 from agorametrics.sources import store as tables
 from agorametrics.sources.store import Store
 from agorametrics.streaming import ingest
@@ -424,18 +424,20 @@ def reset_stats(spark, sf):
 # --- stored tables, filled by a stream ---------------------------------------------
 
 
-def streamed(spark: SparkSession, sf: str) -> Store:
+def streamed(spark: SparkSession, sf: str, read=given.raw_stream) -> Store:
     root = new_folder(spark, "stream-store")
     session = stream_session(spark, spark.sparkContext.defaultParallelism)
     stream = ingest.start_stream(
-        given.raw_stream(session, sf),
+        read(session, sf),
         Store(session, root),
         new_folder(spark, "stream-checkpoint"),
         name="events",
         self_id=given.SELF_ID,
+        every="0 seconds",
         channels=given.channels(session, sf),
     )
-    stream.awaitTermination()
+    stream.processAllAvailable()
+    stream.stop()
     return Store(spark, root)
 
 
@@ -444,6 +446,20 @@ def stream_user_stats(spark, sf):
     return streamed(spark, sf).user_stats_monthly()
 
 
+@query(with_ctes("settled", _SCANNED_STATS.format("settled")))
+def stream_channel_history(spark, sf):
+    """The same messages, kept by channel and replayed by the channel history source."""
+    raw = given.unresolved_messages(spark, sf)
+    folder = new_folder(spark, "history")
+    history.write_history(raw, folder)
+
+    def read(session, _):
+        history.register(session)
+        return session.readStream.format(history.FORMAT).schema(raw.schema).load(folder)
+
+    return streamed(spark, sf, read).user_stats_monthly()
+
+
 @query(with_ctes("settled", _SCANNED_EDGES.format("settled")))
 def stream_user_reactions(spark, sf):
     return streamed(spark, sf).user_reactions_monthly()
