@@ -7,13 +7,17 @@ target / (2k + 1), k its blocks so far. Quotients are only listed where the last
 a source's blocks differ from its exact share by a known bound, so all sources together list
 a few rows each. Allocating for the first 1, 2, ... shards' blocks gives each shard its quotas.
 
-A source's documents stand on a line in seeded order; its blocks are consecutive words from a
-seeded place on, round and round. So a document is taken whole for each full round and partly
-at the two ends, never more than three times.
+A source's documents stand on a line in seeded order, which is cut into blocks. The blocks are
+drawn in a seeded order, all of them before any is drawn again, until the source has its target; the
+last one is cut where that is reached. So each source gives its target to the word, however small.
+The quotas deal the drawn blocks out to the shards in turn. Blocks side by side that go to the same
+shard in the same round are one part, so a document is only cut where its blocks part ways, and is
+never taken more than three times.
 
 Defined cases: null and empty texts have no words and are not taken; a null source is a source;
-rows that are equal have places of their own; an empty table, or one without words, gives zero
-targets; sizes and orders don't depend on partitions, so reruns agree.
+rows that are equal have places of their own; very long texts are cut into as many parts as they
+have blocks at most; extra columns of any name stay; an empty table, or one without words, gives
+zero targets; sizes and orders don't depend on partitions, so reruns agree.
 """
 
 from __future__ import annotations
@@ -29,9 +33,10 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 SHARDS = 8
 SEED = 20240229
-# A block is this share of a mean source, at most MAX_BLOCK words.
-BLOCKS_A_SOURCE = 1000
-MAX_BLOCK = 4096
+# Words of a block.
+BLOCK = 4096
+# Steps from block to block in the order of drawing; a prime, so it meets every block.
+STRIDE = 2654435761
 # Rows that share one sorted run of a source's line.
 ROWS_A_BUCKET = 16_384
 LEAST_BUCKETS = 64
@@ -107,25 +112,21 @@ def quotas(shares: DataFrame, block: int, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def block_words(total: int, sources: int) -> int:
-    return max(1, min(MAX_BLOCK, total // (BLOCKS_A_SOURCE * max(1, sources))))
+def plan(sized: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The sources with their targets, what is taken and the shards' ends, and the quotas by shard.
 
-
-def plan(sized: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
-    """The sources with their targets and what is taken, the quotas by shard, and the block size."""
+    ``shard_ends`` holds, for each shard, how many of the source's blocks it and those before it get.
+    """
     shares = write_once(targets(source_sizes(sized)), "mix-targets")
-    total, sources = shares.agg(F.sum("source_size"), F.count("*")).first()
-    block = block_words(total or 0, sources)
     by_shard = write_once(quotas(shares, block, shards), "mix-quotas")
-    blocks = by_shard.groupBy("rank").agg(F.sum("blocks").alias("blocks"))
-    taken = F.least(
-        F.coalesce("blocks", F.lit(0)) * F.lit(block), F.col("source_size") * MOST_TIMES
-    )
-    begin = F.pmod(F.xxhash64(F.lit(seed), "rank"), F.greatest("source_size", F.lit(1)))
-    known = shares.join(blocks, "rank", "left").select(
-        "source", "source_size", "source_rows", "rank", "target", taken.cast("long").alias("source_taken"), begin.alias("begin")
+    ends = F.array_sort(F.collect_list(F.struct("shard", (F.col("blocks_before") + F.col("blocks")).alias("upto"))))
+    ends = by_shard.groupBy("rank").agg(F.transform(ends, lambda e: e["upto"]).alias("shard_ends"))
+    taken = F.least(F.round("target"), F.col("source_size") * MOST_TIMES).cast("long")
+    first = F.pmod(F.xxhash64(F.lit(seed), "rank"), F.lit(STRIDE))
+    known = shares.join(ends, "rank", "left").select(
+        "source", "source_size", "source_rows", "rank", "target", taken.alias("source_taken"), first.alias("first"), "shard_ends"
     )
-    return write_once(known, "mix-sources"), by_shard, block
+    return write_once(known, "mix-sources"), by_shard
 
 
 def _on_the_line(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -139,7 +140,7 @@ def _on_the_line(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     bucket = F.floor((spot.cast("double") / 2.0**64 + 0.5) * buckets).cast("int")
     # A source is a name, so there are few of them; past the bound Spark shuffles instead.
     known = sources.select(
-        F.col("source").alias("known"), "source_size", "target", "source_taken", "begin", "rank"
+        F.col("source").alias("known"), "source_size", "target", "source_taken", "first", "shard_ends", "rank"
     )
     small = sources.count() <= 100_000
     found = rows.join(F.broadcast(known) if small else known, rows["source"].eqNullSafe(F.col("known")))
@@ -156,41 +157,70 @@ def _on_the_line(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return placed.withColumn("start", F.col("bucket_start") + F.col("upto") - F.col("size"))
 
 
-def _parts() -> Column:
-    """What is taken of a document: an array of (from, words)."""
+def _drawn(number: Column, block: int) -> Column:
+    """The place of a block in the order of drawing; what is left behind the last full block is last."""
+    full = F.floor(F.col("source_size") / block)
+    drawn = F.pmod(F.lit(STRIDE) * number + F.col("first"), F.greatest(full, F.lit(1)))
+    return F.when(number >= full, full).otherwise(drawn)
+
+
+def _shard(words_before: Column, block: int, shards: int) -> Column:
+    """The shard of a block that is drawn after so many words of its source."""
+    ends = F.coalesce(F.col("shard_ends"), F.array().cast("array<long>"))
+    passed = F.size(F.filter(ends, lambda e: e <= F.floor(words_before / block)))
+    return F.least(passed, F.lit(shards - 1)).cast("int")
+
+
+def _parts(block: int = BLOCK, shards: int = SHARDS) -> Column:
+    """What is taken of a document: an array of (round, from, words, shard), in that order."""
     size, start = F.col("size"), F.col("start")
     length = F.greatest(F.col("source_size"), F.lit(1))
-    rest = F.col("source_taken") % length
-    whole = F.floor(F.col("source_taken") / length)
-
-    def overlap(a: Column, b: Column) -> Column:
-        first = F.greatest(start, a)
+    rounds, rest = F.floor(F.col("source_taken") / length), F.col("source_taken") % length
+    full = F.floor(F.col("source_size") / block)
+    number = lambda at: F.least(F.floor(at / block), full)
+    long = lambda c: c.cast("long")
+
+    def piece(round_: Column, k: Column) -> Column:
+        """Block ``k``'s share of the document in one round; the last round stops within a block."""
+        drawn = _drawn(k, block)
+        left = F.when(round_ < rounds, length).otherwise(rest) - drawn * block
+        first = F.greatest(start, k * block)
+        upto = F.least(start + size, F.when(k < full, (k + 1) * block).otherwise(length), k * block + F.greatest(left, F.lit(0)))
         return F.struct(
-            (first - start).alias("from"),
-            F.greatest(F.lit(0), F.least(start + size, b) - first).alias("words"),
+            long(round_).alias("round"),
+            long(first - start).alias("from"),
+            long(F.greatest(upto - first, F.lit(0))).alias("words"),
+            _shard(round_ * length + drawn * block, block, shards).alias("shard"),
         )
 
-    upto = F.col("begin") + rest
-    every = F.concat(
-        F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), size.alias("words")), whole.cast("int")),
-        F.array(
-            overlap(F.col("begin"), F.least(upto, length)),
-            overlap(F.lit(0).cast("long"), F.greatest(upto - length, F.lit(0))),
-        ),
+    blocks = F.sequence(long(number(start)), long(number(start + size - 1)))
+    every = F.flatten(
+        F.transform(F.sequence(F.lit(0).cast("long"), long(rounds)), lambda r: F.transform(blocks, lambda k: piece(r, k)))
     )
     kept = F.filter(every, lambda p: p["words"] > 0)
-    return F.when(size > 0, kept).otherwise(F.filter(every, lambda p: F.lit(False)))
+
+    def joined(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        beside = (last["round"] == p["round"]) & (last["shard"] == p["shard"]) & (last["from"] + last["words"] == p["from"])
+        longer = F.struct(
+            last["round"].alias("round"), last["from"].alias("from"), (last["words"] + p["words"]).alias("words"), last["shard"].alias("shard")
+        )
+        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        return F.when(F.coalesce(beside, F.lit(False)), merged).otherwise(F.concat(done, F.array(p)))
+
+    none = F.array().cast("array<struct<round:bigint,from:bigint,words:bigint,shard:int>>")
+    return F.when(size > 0, F.aggregate(kept, none, joined)).otherwise(none)
 
 
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "source", word_count(F.col("text")).alias("size"))
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, source_size, target, taken, parts) per row of ``docs``."""
     rows = write_once(_sized(docs), "mix-rows")
-    sources, _, _ = plan(rows, shards, seed)
-    placed = _on_the_line(rows, sources, seed).withColumn("parts", _parts())
+    sources, _ = plan(rows, shards, seed, block)
+    placed = _on_the_line(rows, sources, seed).withColumn("parts", _parts(block, shards))
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "parts")
 
@@ -201,13 +231,15 @@ def _cut_text(text: Column, begin: Column, words: Column) -> Column:
     return F.array_join(F.slice(pieces, begin.cast("int") + 1, words.cast("int")), "")
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixture(
+    docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK, shard: str | None = None
+) -> DataFrame:
     """The mix itself with the columns of ``docs``: a row for each part taken.
 
     Parts that don't hold all words have the text of their words, and n_chars, if there is such
-    a column, follows.
+    a column, follows. ``shard`` names a column, added or replaced, with the part's shard.
     """
-    sources, _, _ = plan(_sized(docs), shards, seed)
+    sources, _ = plan(_sized(docs), shards, seed, block)
     rows = row_struct(docs).select(
         "row",
         F.col("row.doc_id").alias("doc_id"),
@@ -216,14 +248,16 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
         word_count(F.col("row.text")).alias("size"),
     )
     placed = _on_the_line(rows, sources, seed)
-    parts = placed.select("row", "size", F.explode(_parts()).alias("part"))
+    parts = placed.select("row", "size", F.explode(_parts(block, shards)).alias("part"))
     whole = F.col("part.words") == F.col("size")
     text = F.when(whole, F.col("row.text")).otherwise(
         _cut_text(F.col("row.text"), F.col("part.from"), F.col("part.words"))
     )
-    parts = parts.select("row", whole.alias("whole"), text.alias("text"))
+    parts = parts.select("row", whole.alias("whole"), text.alias("text"), F.col("part.shard").alias("shard"))
     out = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out["n_chars"] = F.when(F.col("whole"), out["n_chars"]).otherwise(F.char_length("text").cast(kind))
-    return parts.select(*(out[c].alias(c) for c in docs.columns))
+    if shard is not None:
+        out[shard] = F.col("shard")
+    return parts.select(*(c.alias(name) for name, c in out.items()))
