@@ -46,6 +46,9 @@ _NAMES = {
     MESSAGES: {"id": "a", "author_id": "b", "reaction_count": "n", "fetched_at": "seen"}
     | {c: c for c in ("content", "ts", "reply_to_id", "reply_to_author", "reply_to_content")},
 }
+# Ids that are searched for; files have bloom filters on them, so a search reads only row groups
+# that hold the id.
+_LOOKED_UP = ("a", "b")
 _MONTHLY = {STATS, EDGES, MESSAGES}
 _STORED = T.StructType([*schemas.FACTS.fields, *schemas.FACT_KEYS.fields])
 MESSAGE_COLUMNS = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
@@ -97,7 +100,10 @@ class Store:
         if observed:
             seen = Observation()
             rows = rows.observe(seen, *(c.alias(name) for name, c in observed.items()))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*keys).parquet(path)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*keys)
+        for name in _LOOKED_UP:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer.parquet(path)
         return seen.get if seen else {}
 
     def batches(self, table: str) -> DataFrame:

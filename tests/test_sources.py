@@ -123,6 +123,30 @@ def test_month_filter_prunes_folders(spark, tmp_path):
     assert store.user_stats_monthly().count() == 1
 
 
+def rows_read(df):
+    """Rows that the scans of ``df`` gave when it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while "Adaptive" in plan.nodeName():
+        plan = plan.executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_a_search_for_an_id_reads_no_other_row_groups(spark, tmp_path):
+    """Ids are spread, so that only the bloom filters can tell that one is missing."""
+    store = Store(spark, str(tmp_path / "store"))
+    ids = F.xxhash64("id").alias("giver_id"), F.xxhash64(-F.col("id")).alias("receiver_id")
+    months = F.lit(2024).alias("year"), F.lit(1).alias("month"), F.lit(1).cast("long").alias("reaction_count")
+    edges = spark.range(5000).select(*ids, *months)
+    store.put(tables.EDGES, edges, "a")
+    there, missing = edges.first(), spark.range(1).select(F.xxhash64(F.lit(77_777))).first()[0]
+    for column in ("giver_id", "receiver_id"):
+        assert rows_read(store.batches(tables.EDGES).where(F.col(column) == missing)) == 0
+        found = store.batches(tables.EDGES).where(F.col(column) == there[column])
+        assert rows_read(found) > 0 and found.count() == 1
+
+
 def test_reset_empties_two_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.put(tables.STATS, spark.createDataFrame([(1, 2024, 1, 2, 5)], STATS), "a")

@@ -523,20 +523,29 @@ def monthly_stats(spark, sf):
     return rounded(stats, "avg_reacts")
 
 
-@query(
-    with_ctes(
-        "event_stats",
-        f"""SELECT total_messages AS total_msgs, total_reactions AS total_reacts,
-        round(CAST(total_reactions AS DOUBLE) / nullif(total_messages, 0), 6) AS avg_reacts
-        FROM event_stats WHERE author_id = {ONE_USER} AND year = 2024 AND month = 1""",
-    )
+_ONE_MONTH = with_ctes(
+    "event_stats",
+    f"""SELECT total_messages AS total_msgs, total_reactions AS total_reacts,
+    round(CAST(total_reactions AS DOUBLE) / nullif(total_messages, 0), 6) AS avg_reacts
+    FROM event_stats WHERE author_id = {ONE_USER} AND year = 2024 AND month = 1""",
 )
+
+
+@query(_ONE_MONTH)
 def user_monthly_stats(spark, sf):
     return rounded(
         activity.user_month(given.event_stats(spark, sf), ONE_USER, 2024, 1), "avg_reacts"
     )
 
 
+@query(_ONE_MONTH)
+def stored_user_month(spark, sf):
+    """The same looked up in a store, which reads only row groups that hold the author."""
+    store = Store(spark, new_folder(spark, "store"))
+    store.put(tables.STATS, given.event_stats(spark, sf), store.next_batch())
+    return rounded(activity.user_month(store.user_stats_monthly(), ONE_USER, 2024, 1), "avg_reacts")
+
+
 _BOARD = """SELECT author_id, display_name, {avg} AS avg_reacts, total_msgs, total_reacts,
     round(server_avg, 6) AS server_avg FROM (
       SELECT s.author_id, coalesce(nullif(username, ''), 'User ' || s.author_id) AS display_name,
