@@ -68,6 +68,10 @@ class Community:
         """Monthly and yearly inflation."""
         return inflation.inflation_report(self.store.user_stats_monthly())
 
+    def monthly_rpm(self, months: int | None = None) -> DataFrame:
+        """Mean over authors of reactions per message, as maintained by ingest."""
+        return inflation.monthly_rpm_from_changes(self.store.batches(tables.RPM_CHANGES), months)
+
     def inflation_from_edges(self, monthly: bool, months: int | None = None) -> DataFrame:
         """Reactions per message counted from the reaction edges."""
         stats, edges = self.store.batches(tables.STATS), self.store.batches(tables.EDGES)

@@ -33,6 +33,34 @@ def monthly_rpm(stats: DataFrame, months: int | None = None) -> DataFrame:
     return _latest(stats.groupBy("year", "month").agg(F.avg(per_author).alias("average_rpm")), months)
 
 
+def rpm_changes(before: DataFrame, added: DataFrame) -> DataFrame:
+    """What ``added`` counts change in the mean of ``monthly_rpm``: (year, month, ratios, authors).
+
+    ``ratios`` is the change of the sum of the authors' ratios, ``authors`` that of their number.
+    Only the authors and months of ``added`` are looked up in ``before``, both author months.
+    """
+    keys = ["author_id", "year", "month"]
+    sums = lambda rows: rows.groupBy(*keys).agg(
+        F.sum("total_messages").alias("m"), F.sum("total_reactions").alias("r")
+    )
+    new = sums(added)
+    old = sums(before.join(added.select(*keys).distinct(), keys, "left_semi")).withColumnsRenamed({"m": "m0", "r": "r0"})
+    zero = F.lit(0).cast("bigint")
+    both = new.join(old, keys, "left").withColumns({"m0": F.coalesce("m0", zero), "r0": F.coalesce("r0", zero)})
+    was, now = ratio(F.col("r0"), F.col("m0")), ratio(F.col("r0") + F.col("r"), F.col("m0") + F.col("m"))
+    return both.groupBy("year", "month").agg(
+        F.sum(F.coalesce(now, F.lit(0.0)) - F.coalesce(was, F.lit(0.0))).alias("ratios"),
+        F.sum(now.isNotNull().cast("bigint") - was.isNotNull().cast("bigint")).alias("authors"),
+    )
+
+
+def monthly_rpm_from_changes(changes: DataFrame, months: int | None = None) -> DataFrame:
+    """``monthly_rpm`` from all changes so far; it reads a row a month and batch, no authors."""
+    sums = changes.groupBy("year", "month").agg(F.sum("ratios").alias("ratios"), F.sum("authors").alias("authors"))
+    mean = F.when(F.col("authors") > 0, F.col("ratios") / F.col("authors"))
+    return _latest(sums.select("year", "month", mean.alias("average_rpm")), months)
+
+
 def yearly_rpm(stats: DataFrame) -> DataFrame:
     """Reactions over messages, by year."""
     return (

@@ -135,6 +135,7 @@ FACTS = T.StructType(
         T.StructField("b", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("reactions", T.LongType()),
+        T.StructField("x", T.DoubleType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("seen", T.TimestampType()),
         T.StructField("content", T.StringType()),

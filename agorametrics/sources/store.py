@@ -35,6 +35,7 @@ ALL_TIME = "user_reactions"
 MAPPING = "user_mapping"
 MESSAGES = "messages"
 OFFSETS = "scan_offsets"
+RPM_CHANGES = "rpm_changes"
 
 # How the columns of each table are called in the facts.
 _NAMES = {
@@ -43,13 +44,14 @@ _NAMES = {
     ALL_TIME: {"giver_id": "a", "receiver_id": "b", "reaction_count": "n"},
     MAPPING: {"author_id": "a", "username": "content", "last_updated": "ts"},
     OFFSETS: {"channel_id": "a", "last_scanned": "ts"},
+    RPM_CHANGES: {"ratios": "x", "authors": "n"},
     MESSAGES: {"id": "a", "author_id": "b", "reaction_count": "n", "fetched_at": "seen"}
     | {c: c for c in ("content", "ts", "reply_to_id", "reply_to_author", "reply_to_content")},
 }
 # Ids that are searched for; files have bloom filters on them, so a search reads only row groups
 # that hold the id.
 _LOOKED_UP = ("a", "b")
-_MONTHLY = {STATS, EDGES, MESSAGES}
+_MONTHLY = {STATS, EDGES, MESSAGES, RPM_CHANGES}
 _STORED = T.StructType([*schemas.FACTS.fields, *schemas.FACT_KEYS.fields])
 MESSAGE_COLUMNS = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
 _BATCH = re.compile(r"[A-Za-z0-9_.\-]+")
@@ -66,7 +68,7 @@ def as_facts(table: str, rows: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Six tables below one root folder."""
+    """All stored tables below one root folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -124,7 +126,7 @@ class Store:
 
     def reset(self) -> None:
         """Empty the author months and the all-time reactions; all else stays."""
-        self.replace({table: self.batches(table).limit(0) for table in (STATS, ALL_TIME)}, "reset")
+        self.replace({table: self.batches(table).limit(0) for table in (STATS, RPM_CHANGES, ALL_TIME)}, "reset")
 
     def _sums(self, table: str, *keys: str) -> DataFrame:
         sums = [c for c, stored in _NAMES[table].items() if stored in ("n", "reactions")]
@@ -184,6 +186,9 @@ class Store:
             MAPPING: self.user_mapping(),
             MESSAGES: self.messages([*MESSAGE_COLUMNS, "fetched_at"]),
             OFFSETS: self.scan_offsets(),
+            RPM_CHANGES: self.batches(RPM_CHANGES).groupBy("year", "month").agg(
+                F.sum("ratios").alias("ratios"), F.sum("authors").alias("authors")
+            ),
         }
 
     def compact(self) -> None:

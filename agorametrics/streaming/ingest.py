@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from agorametrics import fixed_values as fixed
-from agorametrics.operators import facts
+from agorametrics.operators import facts, inflation
 from agorametrics.operators.members import cleaned_usernames, latest_usernames, refresh_due
 from agorametrics.plans.joins import join_dimension
 from agorametrics.plans.tables import write_once
@@ -51,6 +51,9 @@ def write_facts(
 ) -> Ingested:
     """Counts, reaction edges, quality messages and offsets of one batch, written by one job.
 
+    So is what the batch changes in the monthly mean of the authors' ratios, for which only the
+    authors that it counts are looked up.
+
     ``messages`` may hold several copies of an id; the newest counts. It is read once: what the
     tables need of it is written to an intermediate table, and all else comes from that.
     ``offsets`` makes the channels' offsets from the message facts. With ``originals``, messages
@@ -65,8 +68,16 @@ def write_facts(
         quality = write_once(quality, "quality")
         quality = facts.resolve_references(quality, facts.originals_of(quality, originals))
     quality = quality.select("*", *facts.reply_columns(F.col("reference")))
-    counts = facts.tagged_counts(newest).replace(_TABLES, subset=["tag"]).withColumnRenamed("tag", "kind")
-    rows = counts.unionByName(tables.as_facts(tables.MESSAGES, quality), allowMissingColumns=True)
+    counts = write_once(facts.tagged_counts(newest), "counts")
+    added = counts.where("tag = 'stats'").select(
+        F.col("a").alias("author_id"), "year", "month", F.col("n").alias("total_messages"), F.col("reactions").alias("total_reactions")
+    )
+    # What the batch itself left in an earlier try is not there before it.
+    before = store.batches(tables.STATS).where(F.col("batch") != batch)
+    changes = inflation.rpm_changes(before, added)
+    rows = counts.replace(_TABLES, subset=["tag"]).withColumnRenamed("tag", "kind")
+    rows = rows.unionByName(tables.as_facts(tables.RPM_CHANGES, changes), allowMissingColumns=True)
+    rows = rows.unionByName(tables.as_facts(tables.MESSAGES, quality))
     if offsets is not None:
         rows = rows.unionByName(tables.as_facts(tables.OFFSETS, offsets(seen)))
     of_quality = F.col("kind") == tables.MESSAGES
@@ -130,7 +141,9 @@ def repopulate(raw: DataFrame, channels: DataFrame, store: Store, as_of: dt.date
     readable = join_dimension(raw, done, "channel_id", "id")
     readable = readable.where(F.col("created_at") <= F.col("last_scanned")).drop("last_scanned")
     stats, edges = facts.repopulated(facts.newest_copies(readable))
-    store.replace({tables.STATS: stats, tables.EDGES: edges}, label)
+    stats = write_once(stats, "repopulated")
+    changes = inflation.rpm_changes(stats.limit(0), stats)
+    store.replace({tables.STATS: stats, tables.RPM_CHANGES: changes, tables.EDGES: edges}, label)
     return label
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agorametrics.community import Community
-from agorametrics.operators import facts
+from agorametrics.operators import facts, inflation
 from agorametrics.schemas import CHANNELS, RAW_MESSAGES
 from agorametrics.sources import history as channel_history
 from agorametrics.sources import store as tables
@@ -245,6 +245,37 @@ def test_order_and_compaction_do_not_matter(spark, tmp_path, channels):
     assert contents(first) == contents(once)
 
 
+def test_monthly_mean_is_kept_up(spark, tmp_path, channels):
+    """After each increment, a replay and a new count, the mean is that over all authors."""
+    data = raw(
+        spark,
+        *[message(i, author=i % 7, created=at(1 + i % 25, i % 24), reactions=FOUR if i % (1 + i % 5) == 0 else ()) for i in range(1, 150)],
+        message(500, author=8, created=dt.datetime(2023, 12, 30, tzinfo=UTC), reactions=FOUR),
+    )
+    store = Store(spark, str(tmp_path / "store"))
+
+    def same():
+        full = inflation.monthly_rpm(store.user_stats_monthly()).collect()
+        kept = inflation.monthly_rpm_from_changes(store.batches(tables.RPM_CHANGES)).collect()
+        assert [tuple(r)[:2] for r in kept] == [tuple(r)[:2] for r in full]
+        assert all(abs(a.average_rpm - b.average_rpm) < 1e-9 for a, b in zip(kept, full))
+        return len(full)
+
+    for day, months in ((2, 2), (9, 2), (15, 2), (28, 2)):
+        ingest.ingest_increment(data, channels, store, at(day))
+        assert same() == months
+    extra = raw(spark, message(900, author=1, reactions=FOUR), message(901, author=99))
+    for _ in range(2):
+        ingest.write_facts(extra, store, "chat-000000000001")
+        same()
+    store.compact()
+    same()
+    ingest.repopulate(data, channels, store, at(29))
+    same()
+    store.reset()
+    assert same() == 0
+
+
 def test_raw_messages_are_read_once(spark, tmp_path, channels):
     """An increment evaluates its input a single time, and totals come from the write."""
     evaluated = spark.sparkContext.accumulator(0)

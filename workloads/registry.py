@@ -326,6 +326,19 @@ def repopulated_store(spark, sf):
     return store.user_stats_monthly()
 
 
+@query(
+    with_ctes(
+        "scanned",
+        f"""SELECT year, month, round(avg(CAST(total_reactions AS DOUBLE) / nullif(total_messages, 0)), 6) AS average_rpm
+        FROM ({_SCANNED_STATS.format("scanned")}) GROUP BY 1, 2""",
+    )
+)
+def ingest_monthly_mean(spark, sf):
+    """The mean of the authors' ratios, kept up by the two increments without counting again."""
+    changes = ingested(spark, sf).batches(tables.RPM_CHANGES)
+    return rounded(inflation.monthly_rpm_from_changes(changes), "average_rpm")
+
+
 @query(with_ctes("scanned", _SCANNED_EDGES.format("scanned")))
 def ingest_reactions(spark, sf):
     return ingested(spark, sf).user_reactions_monthly()
