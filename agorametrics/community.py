@@ -54,6 +54,28 @@ class Community:
             all_users=all_users,
         )
 
+    def leaderboard_summary(self, as_of: dt.datetime, month_offset: int = 0) -> DataFrame:
+        """The month that the leaderboard shows, its average, and why it may be empty."""
+        year, month = shift_month(as_of.year, as_of.month, month_offset)
+        return activity.leaderboard_summary(self.store.user_stats_monthly(), year, month, as_of.date())
+
+    def leaderboard_lines(self, as_of: dt.datetime, month_offset: int = 0, **options: bool) -> DataFrame:
+        return activity.leaderboard_lines(self.leaderboard(as_of, month_offset, **options))
+
+    def monthly_stats(self, year: int, month: int) -> DataFrame:
+        """All authors of one month, highest reactions per message first."""
+        stats = self.store.user_stats_monthly()
+        return activity.monthly_stats(stats, self.store.user_mapping(), year, month)
+
+    def user_month(self, author_id: int, year: int, month: int) -> DataFrame:
+        return activity.user_month(self.store.user_stats_monthly(), author_id, year, month)
+
+    def active_users(self, year: int, month: int, min_messages: int = fixed.ACTIVE_MIN_MESSAGES) -> DataFrame:
+        return activity.active_users(self.store.user_stats_monthly(), year, month, min_messages)
+
+    def personal_lines(self, author_id: int, as_of: dt.datetime) -> DataFrame:
+        return activity.personal_lines(self.personal(author_id, as_of)).orderBy("step")
+
     def personal(self, author_id: int, as_of: dt.datetime) -> DataFrame:
         stats = self.store.user_stats_monthly().where(F.col("author_id") == author_id)
         author = self.store.spark.range(1).select(F.lit(author_id).cast("bigint").alias("author_id"))
@@ -68,6 +90,11 @@ class Community:
         """Monthly and yearly inflation."""
         return inflation.inflation_report(self.store.user_stats_monthly())
 
+    def inflation_bars(self) -> tuple[DataFrame, DataFrame]:
+        """Bars of the monthly and the yearly chart."""
+        monthly, yearly = self.inflation()
+        return inflation.monthly_inflation_bars(monthly), inflation.yearly_inflation_bars(yearly)
+
     def monthly_rpm(self, months: int | None = None) -> DataFrame:
         """Mean over authors of reactions per message, as maintained by ingest."""
         return inflation.monthly_rpm_from_changes(self.store.batches(tables.RPM_CHANGES), months)
@@ -100,8 +127,15 @@ class Community:
             stats = stats.where(from_month(*since))
         return volume.quality_ratio_per_month(self.store.messages(["ts"], since=since), stats)
 
-    def most_liked(self, as_of: dt.datetime, month_offset: int = 0) -> DataFrame:
-        return influence.most_liked(
+    def gdp_points(self) -> DataFrame:
+        return volume.chart_points(self.gdp(), "total_messages")
+
+    def hdi_points(self) -> DataFrame:
+        return volume.chart_points(self.hdi(), "hdi_ratio")
+
+    def most_liked_report(self, as_of: dt.datetime, month_offset: int = 0) -> tuple[DataFrame, DataFrame]:
+        """The month shown with the outcome, and the ranking."""
+        return influence.most_liked_report(
             self.store.user_reactions_monthly(),
             self.store.user_mapping(),
             self.store.user_stats_monthly(),
@@ -109,6 +143,9 @@ class Community:
             as_of.date(),
         )
 
+    def most_liked(self, as_of: dt.datetime, month_offset: int = 0) -> DataFrame:
+        return self.most_liked_report(as_of, month_offset)[1]
+
     def reaction_percentages(
         self, as_of: dt.datetime, min_messages: int = fixed.ACTIVE_MIN_MESSAGES
     ) -> DataFrame:
@@ -131,3 +168,7 @@ class Community:
 
     def random_quote(self, path: str, seed: int | None = None) -> DataFrame:
         return sampling.random_quote(read_quotes(self.store.spark, path), seed)
+
+    def reset(self) -> None:
+        """Empty the monthly author counts and the all-time reactions; all else stays."""
+        self.store.reset()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agorametrics import fixed_values as fixed
@@ -133,6 +133,54 @@ def leaderboard(
     ).orderBy(average, "author_id")
 
 
+def shown_month(newest: Column, year: int, month: int, as_of: dt.date) -> list[Column]:
+    """``year, month`` and the label of the month ``newest``; null stands for no rows in any.
+
+    Without rows it is the month asked for, or the one before if that is the current or a future one.
+    """
+    if (year, month) >= (as_of.year, as_of.month):
+        year, month = shift_month(year, month, -1)
+    zero_based = F.coalesce(newest, F.lit(year * 12 + month)) - 1
+    keys = [F.floor(zero_based / 12).cast("int"), (zero_based % 12 + 1).cast("int")]
+    return [
+        keys[0].alias("year"),
+        keys[1].alias("month"),
+        month_label(fixed.MONTH_LONG, *keys).alias("month_name"),
+    ]
+
+
+def leaderboard_summary(
+    stats: DataFrame,
+    year: int,
+    month: int,
+    as_of: dt.date,
+    min_messages: int = fixed.ACTIVE_MIN_MESSAGES,
+) -> DataFrame:
+    """The head of a leaderboard, one row: the month shown, the average, and the outcome.
+
+    The outcome is ``shown``, ``no_statistics`` (nobody wrote) or ``nobody_active`` (nobody
+    wrote ``min_messages``). ``stats`` has one row per author and month. One aggregate.
+    """
+    months = (
+        month_candidates(stats, year, month, as_of)
+        .groupBy(month_number().alias("number"))
+        .agg(
+            F.count("*").alias("users"),
+            F.count_if(F.col("total_messages") >= min_messages).alias("active_users"),
+            ratio_or_zero(F.sum("total_reactions"), F.sum("total_messages")).alias("server_avg"),
+        )
+    )
+    newest = months.agg(F.max(F.struct(*months.columns)).alias("newest")).select("newest.*")
+    users, active = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("users", "active_users"))
+    return newest.select(
+        *shown_month(F.col("number"), year, month, as_of),
+        users.alias("users"),
+        active.alias("active_users"),
+        F.coalesce("server_avg", F.lit(0.0)).alias("server_avg"),
+        F.when(users == 0, "no_statistics").when(active == 0, "nobody_active").otherwise("shown").alias("outcome"),
+    )
+
+
 def leaderboard_lines(board: DataFrame) -> DataFrame:
     """The rows of a leaderboard as monospace text."""
     return board.select(

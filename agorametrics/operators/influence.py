@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from agorametrics import fixed_values as fixed
 from agorametrics.functions import cells
-from agorametrics.operators.activity import month_candidates, month_or_previous
+from agorametrics.functions.months import month_number
+from agorametrics.operators.activity import month_candidates, month_or_previous, shown_month
 from agorametrics.plans.hot_keys import MIN_HOT_ROWS, copy_to_pieces, cut_rows, hot_keys
 from agorametrics.plans.tables import new_folder, write_once, write_table
 
@@ -88,6 +89,17 @@ def undirected_edges(edges: DataFrame, by_id: bool = False) -> DataFrame:
     )
 
 
+def month_edges(
+    edges: DataFrame, mapping: DataFrame, stats: DataFrame, year: int, month: int, as_of: dt.date
+) -> DataFrame:
+    """Named edges of a month; when a current or future one has none, of the month before."""
+    candidates = named_edges(
+        month_candidates(edges, year, month, as_of), mapping, month_candidates(stats, year, month, as_of)
+    )
+    # Read for the month, the quantile and the edges: write the joined edges once.
+    return month_or_previous(write_once(candidates, "named-edges"), year, month, as_of)
+
+
 def most_liked_edges(
     edges: DataFrame, mapping: DataFrame, stats: DataFrame, year: int, month: int, as_of: dt.date
 ) -> DataFrame:
@@ -95,12 +107,7 @@ def most_liked_edges(
 
     When no edge of the current or a future month is left, the month before counts.
     """
-    candidates = named_edges(
-        month_candidates(edges, year, month, as_of), mapping, month_candidates(stats, year, month, as_of)
-    )
-    # Read for the month, the quantile and the edges: write the joined edges once.
-    joined = write_once(candidates, "named-edges")
-    return undirected_edges(strong_edges(month_or_previous(joined, year, month, as_of)))
+    return undirected_edges(strong_edges(month_edges(edges, mapping, stats, year, month, as_of)))
 
 
 def eigenvector_centrality(
@@ -221,6 +228,42 @@ def top_nodes(centrality: DataFrame, size: int = fixed.MOST_LIKED_SIZE) -> DataF
     )
 
 
+def most_liked_report(
+    edges: DataFrame,
+    mapping: DataFrame,
+    stats: DataFrame,
+    year: int,
+    month: int,
+    as_of: dt.date,
+    size: int = fixed.MOST_LIKED_SIZE,
+    max_iter: int = fixed.CENTRALITY_MAX_ITER,
+) -> tuple[DataFrame, DataFrame]:
+    """The head of the ranking, one row, and the highest-ranked users of the month.
+
+    The head has the month shown, its edges, the ties that the ranking is computed on, and the
+    outcome: ``shown``, ``no_data`` (no edges), ``too_few`` (no tie between two users) or
+    ``not_settled``. The ranking is empty unless it is shown.
+    """
+    shown = month_edges(edges, mapping, stats, year, month, as_of)
+    graph = write_once(undirected_edges(strong_edges(shown)), "graph")
+    try:
+        ranking, settled = top_nodes(eigenvector_centrality(graph, max_iter), size), True
+    except NotConverged:
+        ranking, settled = edges.sparkSession.createDataFrame([], RANKING), False
+    counts = shown.agg(F.max(month_number()).alias("number"), F.count("*").alias("edges"))
+    ties = graph.agg(F.count("*")).scalar()
+    head = counts.withColumn("ties", ties).select(
+        *shown_month(F.col("number"), year, month, as_of),
+        "edges",
+        "ties",
+        F.when(F.col("edges") == 0, "no_data")
+        .when(F.col("ties") == 0, "too_few")
+        .otherwise("shown" if settled else "not_settled")
+        .alias("outcome"),
+    )
+    return head, ranking
+
+
 def most_liked(
     edges: DataFrame,
     mapping: DataFrame,
@@ -234,11 +277,7 @@ def most_liked(
 
     Empty when there are no edges, or too few for the ranking to settle.
     """
-    graph = write_once(most_liked_edges(edges, mapping, stats, year, month, as_of), "graph")
-    try:
-        return top_nodes(eigenvector_centrality(graph), size)
-    except NotConverged:
-        return edges.sparkSession.createDataFrame([], RANKING)
+    return most_liked_report(edges, mapping, stats, year, month, as_of, size)[1]
 
 
 def most_liked_lines(ranking: DataFrame) -> DataFrame:

@@ -133,6 +133,23 @@ def test_most_liked_without_data(spark):
     assert influence.most_liked(*frames, 2023, 5, dt.date(2024, 1, 20)).collect() == []
 
 
+def test_most_liked_outcomes(spark):
+    def head(edges, authors, year=2024, month=1, as_of=dt.date(2024, 1, 20), **options):
+        frames = month_tables(spark, edges, authors=authors)
+        summary, ranking = influence.most_liked_report(*frames, year, month, as_of, **options)
+        return tuple(summary.first()), ranking.count()
+
+    ring = [(1, 2, 9), (2, 3, 9), (3, 1, 9)]
+    assert head(ring, [1, 2, 3]) == ((2024, 1, "January 2024", 3, 3, "shown"), 3)
+    february = {"month": 2, "as_of": dt.date(2024, 2, 3)}
+    assert head(ring, [1, 2, 3], **february) == ((2024, 1, "January 2024", 3, 3, "shown"), 3)
+    assert head(ring, [1, 2, 3], year=2023, month=5) == ((2023, 5, "May 2023", 0, 0, "no_data"), 0)
+    # The only edge is a loop.
+    assert head([(1, 1, 9)], [1]) == ((2024, 1, "January 2024", 1, 0, "too_few"), 0)
+    star = [(1, n, 9) for n in range(2, 7)]
+    assert head(star, range(1, 7), max_iter=1) == ((2024, 1, "January 2024", 5, 5, "not_settled"), 0)
+
+
 def test_hot_keys_are_cut(spark):
     rows = spark.range(1000).select(
         F.when(F.col("id") < 400, 1).otherwise(F.col("id")).cast("long").alias("k"), "id"

@@ -519,6 +519,16 @@ def test_all_reports_over_a_store(spark, tmp_path, channels):
     assert community.rpm([], 10, now).count() == 12
     assert community.rpm([], 10, now).first().total_msgs == 80
     assert community.leaderboard(now, month_offset=-1).count() == 0
+    assert tuple(community.leaderboard_summary(now).first())[:4] == (2024, 1, "January 2024", 5)
+    assert community.leaderboard_summary(now, month_offset=-1).first().outcome == "no_statistics"
+    assert community.leaderboard_lines(now, least=True).count() == 5
+    assert community.monthly_stats(2024, 1).count() == 5
+    assert community.user_month(10, 2024, 1).first().total_msgs == 80
+    assert community.active_users(2024, 1).count() == 5
+    assert community.personal_lines(10, now).count() == 12
+    assert community.gdp_points().count() == 1 and community.hdi_points().count() == 1
+    assert [bars.count() for bars in community.inflation_bars()] == [0, 0]
+    assert community.most_liked_report(now)[0].first().outcome == "shown"
     assert community.totals().count() == 5
     assert [tuple(r) for r in community.gdp().collect()] == [(2024, 1, 400)]
     assert community.hdi().first().hdi_ratio == 1.0
@@ -538,3 +548,5 @@ def test_all_reports_over_a_store(spark, tmp_path, channels):
     assert community.user_clusters(k=2).count() == 5
     assert community.random_message(seed=1).first().content == "a message that is long enough"
     assert community.member_labels(members.select("id")).count() == 5
+    community.reset()
+    assert community.totals().count() == 0 and community.hdi().count() == 0

@@ -68,6 +68,23 @@ def test_empty_month_falls_back_only_when_current_or_future(stats, mapping):
     assert rows(months.select("month").distinct()) == [(1,)]
 
 
+def test_leaderboard_summary(stats):
+    def summary(year, month, day, **options):
+        return tuple(activity.leaderboard_summary(stats, year, month, day, **options).first())
+
+    january = summary(2024, 1, dt.date(2024, 1, 20))
+    assert january == (2024, 1, "January 2024", 4, 3, pytest.approx(453 / 130), "shown")
+    # An empty current month shows the one before; a past one shows nothing.
+    assert summary(2024, 2, dt.date(2024, 2, 3)) == january
+    assert summary(2024, 2, dt.date(2024, 3, 3)) == (2024, 2, "February 2024", 0, 0, 0.0, "no_statistics")
+    assert summary(2024, 3, dt.date(2024, 3, 3)) == (2024, 2, "February 2024", 0, 0, 0.0, "no_statistics")
+    assert summary(2024, 1, dt.date(2024, 1, 20), min_messages=1000)[4:] == (
+        0,
+        pytest.approx(453 / 130),
+        "nobody_active",
+    )
+
+
 def test_leaderboard_lines(stats, mapping):
     board = activity.leaderboard(stats, mapping, 2024, 1, dt.date(2024, 1, 20), size=1)
     assert rows(activity.leaderboard_lines(board), "line") == [

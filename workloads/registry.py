@@ -103,6 +103,24 @@ def user_mapping_latest(spark, sf):
     return latest.withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
 
 
+@query(
+    with_ctes(
+        "members mapping",
+        """SELECT author_id, username || CASE WHEN bot THEN '' ELSE ' (later)' END AS username,
+        CASE WHEN bot THEN TIMESTAMP '2024-02-10' ELSE TIMESTAMP '2024-02-11' END AS last_updated
+        FROM mapping JOIN members ON id = author_id""",
+    )
+)
+def usernames_refreshed(spark, sf):
+    """Three refreshes of a store: the second comes too early, at the third the bots have left."""
+    store = Store(spark, new_folder(spark, "store"))
+    everyone = given.members(spark, sf)
+    for hours, suffix, present in ((0, "", everyone), (23, " (early)", everyone), (24, " (later)", everyone.where("NOT bot"))):
+        shown = present.withColumn("display_name", F.concat("display_name", F.lit(suffix)))
+        ingest.refresh_usernames(shown, store, EVENTS_AS_OF + dt.timedelta(hours=hours))
+    return store.user_mapping().withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
+
+
 @query(
     with_ctes(
         "order_quality",
@@ -626,6 +644,24 @@ def leaderboard_lines(spark, sf):
     return activity.leaderboard_lines(_leaderboard(spark, sf, all_users=True))
 
 
+@query(
+    with_ctes(
+        "event_stats",
+        """SELECT 2024 AS year, 1 AS month, 'January 2024' AS month_name, count(*) AS users,
+        count(*) FILTER (WHERE total_messages >= 30) AS active_users,
+        round(CAST(sum(total_reactions) AS DOUBLE) / sum(total_messages), 6) AS server_avg,
+        CASE WHEN count(*) = 0 THEN 'no_statistics'
+             WHEN count(*) FILTER (WHERE total_messages >= 30) = 0 THEN 'nobody_active'
+             ELSE 'shown' END AS outcome
+        FROM event_stats WHERE year = 2024 AND month = 1""",
+    )
+)
+def leaderboard_summary(spark, sf):
+    """Asked for February, which is empty, so January is shown."""
+    asked = (EVENTS_AS_OF.year, EVENTS_AS_OF.month, EVENTS_AS_OF.date())
+    return rounded(activity.leaderboard_summary(given.event_stats(spark, sf), *asked), "server_avg")
+
+
 def _personal(spark: SparkSession, sf: str) -> DataFrame:
     authors = given.members(spark, sf).select(F.col("id").alias("author_id"))
     return activity.personal_months(given.order_stats(spark, sf), authors, PERSONAL_AS_OF)
@@ -1124,6 +1160,19 @@ def most_liked_lines(spark, sf):
     return influence.most_liked_lines(influence.most_liked(*_liked_inputs(spark, sf)))
 
 
+@query(
+    with_ctes(
+        "liked_rows liked_edges",
+        """SELECT 2024 AS year, 1 AS month, 'January 2024' AS month_name,
+        (SELECT count(*) FROM liked_rows) AS edges, (SELECT count(*) FROM liked_edges) AS ties,
+        CASE WHEN (SELECT count(*) FROM liked_rows) = 0 THEN 'no_data'
+             WHEN (SELECT count(*) FROM liked_edges) = 0 THEN 'too_few' ELSE 'shown' END AS outcome""",
+    )
+)
+def most_liked_summary(spark, sf):
+    return influence.most_liked_report(*_liked_inputs(spark, sf))[0]
+
+
 # --- random picks ------------------------------------------------------------------
 
 
