@@ -76,6 +76,7 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.span_text(pii.BASE), 256).alias("base_sha256"),
         pii.span_text(pii.KINDS).alias("spans"),
         pii.span_text(pii.KINDS, scores=True).alias("scored_spans"),
+        (sum(F.size(k) for k in pii.KINDS) > 0).alias("personal"),
     )
 
 
