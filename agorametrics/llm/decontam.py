@@ -7,8 +7,10 @@ begin, the bounds of the text are checked, and the words are compared. All of th
 the row of the document, so nothing but true occurrences is shuffled.
 
 Defined cases: null and empty texts have no words and are never contaminated; items without a
-word have no window; equal windows of several items count for all of them; null item_ids have
-no part; rows that agree in doc_id and text get the same result; empty tables give no hits.
+word have no window; equal windows of several items count for all of them; windows of items
+with a null item_id are hit like any other, only the null is not among the items; texts of any
+length are taken whole; rows that agree in doc_id and text get the same result; empty tables
+give no hits; other columns, of any name, are only kept.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ def _words(text: str) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(window, length, items): each different window and the sorted items that hold it."""
+    """(window, length, items): each different window and the items that hold it."""
     words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), SEPARATORS), lambda w: w != "")
-    items = benchmark.where("item_id is not null").select("item_id", words.alias("words"))
+    items = benchmark.select("item_id", words.alias("words"))
     last = F.greatest(F.size("words") - window, F.lit(0))
     starts = F.when(F.size("words") > 0, F.sequence(F.lit(0), last))
     cut = F.slice("words", F.col("start") + 1, window)

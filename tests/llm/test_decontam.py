@@ -16,14 +16,15 @@ def brute(docs, items):
         ws, hit, found = words(text), set(), set()
         for item_id, item in items:
             iw = words(item)
-            if item_id is None or not iw:
+            if not iw:
                 continue
             n = min(13, len(iw))
             for s in range(len(iw) - n + 1):
                 for at in range(len(ws) - n + 1):
                     if ws[at : at + n] == iw[s : s + n]:
                         hit |= set(range(at, at + n))
-                        found.add(str(item_id))
+                        if item_id is not None:
+                            found.add(str(item_id))
         bad = bool(hit) and 20 * len(hit) >= len(ws)
         out.append((doc_id, len(ws), len(hit), sorted(found), bad))
     return sorted(out, key=str)
