@@ -54,6 +54,8 @@ _LOOKED_UP = ("a", "b")
 _MONTHLY = {STATS, EDGES, MESSAGES, RPM_CHANGES}
 _STORED = T.StructType([*schemas.FACTS.fields, *schemas.FACT_KEYS.fields])
 MESSAGE_COLUMNS = [f.name for f in schemas.MESSAGES.fields if f.name != "id"]
+# Facts that one task sorts and writes, some 200 bytes each.
+TASK_ROWS = 500_000
 _BATCH = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
@@ -75,12 +77,15 @@ class Store:
         self.facts = root.rstrip("/") + "/facts"
 
     def write(self, facts: DataFrame, batch: str, **observed: Column) -> dict[str, int]:
-        """Write a batch of facts in one job; returns the ``observed`` aggregates of what was written."""
+        """Write a batch of facts in one job; returns the ``observed`` aggregates of what was written.
+
+        The facts are counted first, so they should come from written tables.
+        """
         return self._write(facts, batch, self.facts, "dynamic", observed)
 
     def put(self, table: str, rows: DataFrame, batch: str) -> None:
         """Write ``rows`` as the batch's part of one table."""
-        self.write(as_facts(table, rows), batch)
+        self.write(write_once(as_facts(table, rows), "staged"), batch)
 
     def replace(self, tables: dict[str, DataFrame], batch: str) -> None:
         """Replace all that ``tables`` hold; the rows may come from what they replace."""
@@ -95,9 +100,12 @@ class Store:
         if not _BATCH.fullmatch(batch):
             raise ValueError(f"unusable batch name {batch!r}")
         keys = [c for c in ("kind", "batch", "year", "month") if c in [*facts.columns, "batch"]]
-        # Few files per month, and several tasks for a month with many rows. What is observed comes
-        # after the last shuffle, where a repeated task counts once.
-        rows = facts.withColumn("batch", F.lit(batch)).hint("rebalance", *keys).sortWithinPartitions(*keys, "a")
+        # Few files per month, and several tasks for a month with many rows: facts are mostly nulls, so
+        # a task's share goes by rows, not by the bytes shuffled. What is observed comes after the last
+        # shuffle, where a repeated task counts once.
+        tasks = max(1, -(-facts.count() // TASK_ROWS))
+        rows = facts.withColumn("batch", F.lit(batch)).repartitionByRange(tasks, *keys, "a", "b")
+        rows = rows.sortWithinPartitions(*keys, "a")
         seen = None
         if observed:
             seen = Observation()

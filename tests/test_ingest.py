@@ -550,3 +550,18 @@ def test_all_reports_over_a_store(spark, tmp_path, channels):
     assert community.member_labels(members.select("id")).count() == 5
     community.reset()
     assert community.totals().count() == 0 and community.hdi().count() == 0
+
+
+def test_a_month_with_many_rows_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A task's share goes by rows: facts are mostly nulls and shuffle as next to nothing."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    store = Store(spark, str(tmp_path))
+    edges = spark.range(1000).select(
+        (F.col("id") % 3).alias("giver_id"), F.col("id").alias("receiver_id"),
+        F.lit(2024).alias("year"), F.lit(1).alias("month"), F.lit(1).cast("long").alias("reaction_count"),
+    )
+    store.put(tables.EDGES, edges, "00000001")
+    files = list(tmp_path.glob("facts/kind=*/batch=00000001/year=2024/month=1/*.parquet"))
+    assert 5 <= len(files) <= 11
+    assert store.user_reactions_monthly().count() == 1000
+    assert max(spark.read.parquet(str(f)).count() for f in files) < 500
