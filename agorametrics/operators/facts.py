@@ -231,14 +231,18 @@ def quality_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def message_facts(messages: DataFrame, self_id: int | None = None, reply: str = "reference") -> DataFrame:
+def message_facts(
+    messages: DataFrame, self_id: int | None = None, reply: str = "reference", skip_bots: bool = False
+) -> DataFrame:
     """What the stored tables need of each message, and no more.
 
     ``(id, channel_id, fetched_at, counted, author_id, created_at, reaction_count, givers, quality)``:
     whether the message counts, the people behind its reactions, and for a quality message that
-    counts its own columns with ``reply``, as it is in ``messages``.
+    counts its own columns with ``reply``, as it is in ``messages``. On request no bot's message counts.
     """
-    total = reaction_total(F.col("reactions"))
+    # A column of its own, so that it is added up once a message.
+    messages = messages.withColumn("_total", reaction_total(F.col("reactions")))
+    total = F.col("_total")
     none = F.array().cast("array<bigint>")
     people = lambda users: F.filter(users, lambda u: ~F.coalesce(u["bot"], F.lit(False)))
     givers = F.flatten(
@@ -250,6 +254,8 @@ def message_facts(messages: DataFrame, self_id: int | None = None, reply: str =
     counted = F.coalesce(~is_blank(F.col("content")), F.lit(False))
     if self_id is not None:
         counted = counted & F.coalesce(F.col("author.id") != self_id, F.lit(False))
+    if skip_bots:
+        counted = counted & ~F.coalesce("author.bot", F.lit(False))
     quality = F.struct(
         "id",
         "content",
@@ -272,12 +278,12 @@ def message_facts(messages: DataFrame, self_id: int | None = None, reply: str =
     )
 
 
-def tagged_counts(messages: DataFrame) -> DataFrame:
+def tagged_counts(messages: DataFrame, all_time: bool = True) -> DataFrame:
     """Author months, reaction months and all-time reactions from one pass over message facts.
 
     ``(tag, a, b, year, month, n, reactions)``: a message gives a row to its author's month, and
     each reaction one to its giver and receiver, with and without the month. All are added up by
-    one shuffle.
+    one shuffle; ``all_time`` reactions can be left out.
     """
     year, month = month_keys(F.col("created_at"))
 
@@ -294,14 +300,30 @@ def tagged_counts(messages: DataFrame) -> DataFrame:
     author, no = F.col("author_id"), F.lit(None)
     own = F.array(row("stats", author, no, True, F.col("reaction_count")))
     monthly = F.transform("givers", lambda giver: row("edges", giver, author, True, no))
-    all_time = F.transform("givers", lambda giver: row("all_time", giver, author, False, no))
+    parts = [own, monthly]
+    if all_time:
+        parts.append(F.transform("givers", lambda giver: row("all_time", giver, author, False, no)))
     rows = messages.where("counted").select(year, month, "author_id", "reaction_count", "givers")
-    rows = rows.select(F.inline(F.concat(own, monthly, all_time)))
+    rows = rows.select(F.inline(F.concat(*parts)))
     return rows.groupBy("tag", "a", "b", "year", "month").agg(
         F.count("*").alias("n"), F.sum("reactions").alias("reactions")
     )
 
 
+def stats_of(counts: DataFrame) -> DataFrame:
+    """The author months among tagged counts."""
+    return counts.where("tag = 'stats'").select(
+        F.col("a").alias("author_id"), "year", "month", F.col("n").alias("total_messages"), F.col("reactions").alias("total_reactions")
+    )
+
+
+def edges_of(counts: DataFrame) -> DataFrame:
+    """The reaction months among tagged counts."""
+    return counts.where("tag = 'edges'").select(
+        F.col("a").alias("giver_id"), F.col("b").alias("receiver_id"), "year", "month", F.col("n").alias("reaction_count")
+    )
+
+
 def ingest_totals(messages: DataFrame) -> DataFrame:
     """Quality messages and their reactions over all channels, one row."""
     total = reaction_total(F.col("reactions"))

@@ -66,15 +66,13 @@ def write_facts(
     quality = newest.where("quality is not null").select("quality.*")
     if originals is not None:
         quality = write_once(quality, "quality")
-        quality = facts.resolve_references(quality, facts.originals_of(quality, originals))
+        quality = write_once(facts.resolve_references(quality, facts.originals_of(quality, originals)), "replies")
     quality = quality.select("*", *facts.reply_columns(F.col("reference")))
     counts = write_once(facts.tagged_counts(newest), "counts")
-    added = counts.where("tag = 'stats'").select(
-        F.col("a").alias("author_id"), "year", "month", F.col("n").alias("total_messages"), F.col("reactions").alias("total_reactions")
-    )
+    added = facts.stats_of(counts)
     # What the batch itself left in an earlier try is not there before it.
     before = store.batches(tables.STATS).where(F.col("batch") != batch)
-    changes = inflation.rpm_changes(before, added)
+    changes = write_once(inflation.rpm_changes(before, added), "changes")
     rows = counts.replace(_TABLES, subset=["tag"]).withColumnRenamed("tag", "kind")
     rows = rows.unionByName(tables.as_facts(tables.RPM_CHANGES, changes), allowMissingColumns=True)
     rows = rows.unionByName(tables.as_facts(tables.MESSAGES, quality))
@@ -106,6 +104,7 @@ def ingest_increment(
     an earlier time than the last, finds nothing beyond the offsets.
     """
     cutoff = _utc(as_of) - dt.timedelta(days=1)
+    channels = write_once(channels, "channels")
     scanned = facts.unscanned(raw, channels, store.scan_offsets(), cutoff)
     offsets = lambda seen: facts.next_offsets(seen, channels, cutoff)
     return write_facts(scanned, store, store.next_batch(), self_id, offsets, originals)
@@ -134,14 +133,18 @@ def repopulate(raw: DataFrame, channels: DataFrame, store: Store, as_of: dt.date
 
     These are the messages of readable channels up to each channel's offset, so the next
     increment goes on behind them. Bots are left out, and what came before the fixed date is
-    dropped. All-time reactions and quality messages stay as they are.
+    dropped. All-time reactions and quality messages stay as they are. The messages are read once:
+    both counts come from what is written of them.
     """
     label = "repopulated-" + _utc(as_of).strftime("%Y%m%dT%H%M%S.%f")
-    done = facts.readable_channels(channels).join(store.scan_offsets(), "channel_id")
+    done = write_once(facts.readable_channels(channels).join(store.scan_offsets(), "channel_id"), "channels")
     readable = join_dimension(raw, done, "channel_id", "id")
     readable = readable.where(F.col("created_at") <= F.col("last_scanned")).drop("last_scanned")
-    stats, edges = facts.repopulated(facts.newest_copies(readable))
-    stats = write_once(stats, "repopulated")
+    seen = facts.message_facts(readable, reply="id", skip_bots=True).drop("quality", "channel_id")
+    newest = facts.newest_copies(write_once(seen, "message-facts"))
+    newest = newest.where(F.col("created_at") > F.lit(fixed.REPOPULATE_START))
+    counts = write_once(facts.tagged_counts(newest, all_time=False), "repopulated")
+    stats, edges = facts.stats_of(counts), facts.edges_of(counts)
     changes = inflation.rpm_changes(stats.limit(0), stats)
     store.replace({tables.STATS: stats, tables.RPM_CHANGES: changes, tables.EDGES: edges}, label)
     return label

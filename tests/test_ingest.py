@@ -565,3 +565,31 @@ def test_a_month_with_many_rows_is_written_by_several_tasks(spark, tmp_path, mon
     assert 5 <= len(files) <= 11
     assert store.user_reactions_monthly().count() == 1000
     assert max(spark.read.parquet(str(f)).count() for f in files) < 500
+
+
+def test_repopulation_reads_messages_once(spark, tmp_path):
+    """Both counts come from one pass over the raw messages, and leave bots out."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(content):
+        read.add(1)
+        return content
+
+    data = raw(
+        spark,
+        message(1, reactions=FOUR),
+        message(2, author=2, bot=True, reactions=FOUR),
+        message(3, content=None),
+        message(4, author=3, reactions=[("up", 1, [(10, False), (None, None)])]),
+    )
+    channels = spark.createDataFrame([(1, True)], CHANNELS)
+    store = Store(spark, str(tmp_path))
+    ingest.ingest_increment(data, channels, store, at(20))
+    once = F.udf(passed, "string").asNondeterministic()
+    counted = data.withColumn("content", once("content"))
+    ingest.repopulate(counted, channels, store, at(21))
+    assert read.value == 4
+    stats, edges = facts.repopulated(data)
+    assert sorted(map(tuple, store.user_stats_monthly().collect())) == sorted(map(tuple, stats.collect()))
+    found, expected = (sorted(map(str, df.collect())) for df in (store.user_reactions_monthly(), edges))
+    assert found == expected

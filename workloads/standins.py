@@ -60,9 +60,10 @@ def _k() -> Column:
 def raw_from_events(events: DataFrame) -> DataFrame:
     """Raw messages with nested reactions, row by row, so also for streams.
 
-    ``reply_to_id`` is the id k before, none for k = 0.
+    ``reply_to_id`` is the id k before, none for k = 0. The properties are parsed once a row.
     """
-    k = _k()
+    events = events.withColumn("_k", _k())
+    k = F.col("_k")
     ups = F.floor(F.col("value") / 20)
     user = lambda i: F.struct((k + i).alias("id"), (k + i >= 100).alias("bot"))
     up_users = F.when(
