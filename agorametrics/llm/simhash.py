@@ -210,6 +210,13 @@ def _grouped(docs: DataFrame, size: int, distance: int) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
 
 
+def close_texts(docs: DataFrame, size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """(text_key, component) of the different texts of ``docs``."""
+    texts = write_once(fingerprints(docs, size).select("text_key", "fp").distinct(), "text-fingerprints")
+    fps = write_once(texts.groupBy("fp").agg(F.count("*").alias("copies")), "different")
+    return texts.join(linked(fps, distance), "fp").select("text_key", "component")
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, text_key, fp, component_id) per row of ``docs``."""
     return _grouped(docs, size, distance).drop("component")
