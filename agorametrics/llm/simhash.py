@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agorametrics.llm.common import text_key
+from agorametrics.llm.common import small_batches, text_key
 from agorametrics.llm.components import components
 from agorametrics.plans.tables import write_once
 
@@ -212,7 +212,8 @@ def _grouped(docs: DataFrame, size: int, distance: int) -> DataFrame:
 
 def close_texts(docs: DataFrame, size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """(text_key, component) of the different texts of ``docs``."""
-    texts = write_once(fingerprints(docs, size).select("text_key", "fp").distinct(), "text-fingerprints")
+    with small_batches(docs.sparkSession):
+        texts = write_once(fingerprints(docs, size).select("text_key", "fp").distinct(), "text-fingerprints")
     fps = write_once(texts.groupBy("fp").agg(F.count("*").alias("copies")), "different")
     return texts.join(linked(fps, distance), "fp").select("text_key", "component")
 
